@@ -18,6 +18,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Conversation -1, which both the query and its SQL add: a user's, then an assistant's row.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import chat
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(f"SELECT -1L conv_id, t.turn, t.role, '{CONTROL}' text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    done = chat.format_conversations(turns.unionByName(extra))
+    read = done.withColumn("turns", chat.read_turns(F.col("formatted")))
+    digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    whole = read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), digest.alias("turns_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"), "spans", "formatted")
+    keep = ("n_turns", "turns_sha256", "formatted_chars")
+    examples = chat.expand(whole, keep).withColumn("turns_before", F.size(F.split("context", r"<\|im_start\|>", -1)) - 2)
+    examples = examples.select("conv_id", *keep, "turn", (F.col("turns_before") == F.col("turn")).alias("whole"), chat.unescape(F.col("target")).alias("reply"))
+    none = whole.where(F.size("spans") == 0).select("conv_id", *keep, F.lit(None).cast("int").alias("turn"), F.lit(None).cast("boolean").alias("whole"), F.lit(None).cast("string").alias("reply"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("turn").isNotNull(), F.struct("turn", "reply")))), lambda x: x["reply"]), "")
+    out = examples.unionByName(none).groupBy("conv_id", *keep).agg(joined.alias("loss"), F.count("turn").alias("n_examples"), F.coalesce(F.every("whole"), F.lit(True)).alias("contexts_whole"))
+    return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "contexts_whole")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import simhash
 
@@ -47,11 +69,36 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import license as scans
+
+    out = scans.scan(_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.transform("places", lambda p: p["label"])
+    every = F.concat(base, F.transform("spans", lambda s: s["label"]))
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.col("best"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(every).alias("labels"), score.alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
     "op9_pack": op9_pack,
+    "op10_license": op10_license,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_chat": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  count(*) FILTER (role = 'assistant') AS n_examples,
+  sum(24 + length(text) + length(regexp_replace(text, '[^\\\\<\\[]', '', 'gs')) + length(role) + length(regexp_replace(role, '[^\\\\<\\[\\n]', '', 'gs'))) AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars::BIGINT AS formatted_chars, n_examples, TRUE AS contexts_whole FROM g""",
+}
