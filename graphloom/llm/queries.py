@@ -40,6 +40,12 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "contexts_whole")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import urls
+
+    return urls.judge(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import simhash
 
@@ -83,6 +89,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op4_urls": op4_urls,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
