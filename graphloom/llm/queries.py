@@ -74,6 +74,13 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import warc
+
+    index = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import packing
 
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_mix": op7_mix,
+    "op8_warc": op8_warc,
     "op9_pack": op9_pack,
     "op10_license": op10_license,
 }
