@@ -40,6 +40,13 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "contexts_whole")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm import flatgraph
+
+    out = flatgraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "audit_recall")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import mtree
 
@@ -102,6 +109,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_embeddings": op2_embeddings,
     "op3_topk": op3_topk,
     "op4_urls": op4_urls,
     "op5_simhash": op5_simhash,
