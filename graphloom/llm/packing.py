@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,7 +25,19 @@ _STATE: dict = {}
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of letters that ends at an ASCII character or the word's end, or else all that is left of the word.
 _PART = re.compile(rf"[{_L}]+(?![^\x00-\x40\x5B-\x60\x7B-\x7F])|\S+", re.ASCII)
-_MOST = 250_000
+#: Entries kept per worker: about 210 bytes each.
+_WORDS, _PARTS = 600_000, 1_000_000
+
+
+def byte_table() -> dict[int, int]:
+    """Byte -> character as byte-level vocabularies write it: printable Latin-1 stays, the others follow from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTES = byte_table()
+_PROBE = ("a", "in", "word", "über", "niño", "çà", "straße", "thatthing", "ÿ")
 
 
 class WordTokenizer:
@@ -41,14 +54,24 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.by_word = bool(self.ends.any())
+        model = self.tok.model
+        direct = lambda w: [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_BYTES))]
+        # The model alone does for a run of lower-case letters, if normaliser and pre-tokenizer turn out to add nothing to it.
+        self.direct = direct if [direct(w) for w in _PROBE] == self._encode(list(_PROBE)) else None
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p.isalpha()]
-        for i in range(0, len(plain), 64):
-            few = plain[i : i + 64]
+        plain = [p for p in parts if _PLAIN.fullmatch(p)]
+        if self.direct:
+            for p in plain:
+                self.parts[p] = struct.pack(f"<{len(ids := self.direct(p))}I", *ids)
+            plain_left = []
+        else:
+            plain_left = plain
+        for i in range(0, len(plain_left), 64):
+            few = plain_left[i : i + 64]
             ids = np.array(self._encode([" ".join(few)])[0], "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(few):  # each run of letters is one token word
@@ -57,7 +80,7 @@ class WordTokenizer:
             else:
                 for p, e in zip(few, self._encode(few), strict=True):
                     self.parts[p] = np.array(e, "<u4").tobytes()
-        rest = [p for p in parts if not p.isalpha()]
+        rest = [p for p in parts if not _PLAIN.fullmatch(p)]
         for p, e in zip(rest, self._encode(rest), strict=True):
             self.parts[p] = np.array(e, "<u4").tobytes()
 
@@ -67,14 +90,15 @@ class WordTokenizer:
             return [np.array(e, "<u4").tobytes() for e in self._encode(texts)]
         out = []
         for t in texts:
-            b = re.split(r"[\x20\x09-\x0D]+", t) if "\x1c" <= min(t, default="~") <= "\x1f" else t.split()
+            # What split() takes for white space beyond the tokenizer's own.
+            b = re.split(r"[\x20\x09-\x0D]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
             new = {w for w in b if w not in self.words}
             if new:
-                if len(self.words) > _MOST:
+                if len(self.words) > _WORDS:
                     self.words.clear()
                     new = set(b)
-                cut = {w: [p.lower() if p.isalpha() and p.isascii() or _PLAIN.fullmatch(p) else p for p in _PART.findall(w)] for w in new}
-                if len(self.parts) > _MOST:
+                cut = {w: [p.lower() if _PLAIN.fullmatch(p) else p for p in _PART.findall(w)] for w in new}
+                if len(self.parts) > _PARTS:
                     self.parts.clear()
                 unknown = {p for ps in cut.values() for p in ps if p not in self.parts}
                 if unknown:
