@@ -28,6 +28,10 @@ def make_string_id(number: int, key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit((1 << SHIFT) - 1)) + F.lit(number << SHIFT)
 
 
+def _entry(key: str):
+    return lambda v: F.struct(F.lit(key).alias("key"), v.alias("value"))
+
+
 @dataclass
 class EdgeTable:
     df: DataFrame
@@ -107,7 +111,7 @@ class PropertyGraph:
                 if c in RESERVED or (keys and c not in keys):
                     continue
                 values = F.transform(F.col(c), lambda v: v.cast("string")) if t.startswith("array") else F.array(F.col(c).cast("string"))
-                items.append(F.transform(F.filter(F.coalesce(values, F.array()), lambda v: v.isNotNull()), lambda v, c=c: F.struct(F.lit(c).alias("key"), v.alias("value"))))
+                items.append(F.transform(F.filter(F.coalesce(values, F.array()), lambda v: v.isNotNull()), _entry(c)))
             if items:
                 parts.append(df.select("id", F.lit(x).alias("label"), F.explode(F.concat(*items)).alias("p")).select("id", "label", "p.key", "p.value"))
         if not parts:

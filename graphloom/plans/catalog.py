@@ -190,7 +190,7 @@ _parts("text_starting_ending_containing", P.starting_with("b").and_(P.ending_wit
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 4")
 def out(spark, sf_dir):
-    return _g(spark, sf_dir).V().has_label("customer").has("c_nationkey", 4).as_("c").out("placed").as_("o").select("c", "o").by(__.values("c_custkey")).df().select(F.col("c").alias("c_custkey"), F.col("o").alias("o_orderkey")) if False else _bound(_g(spark, sf_dir).V().has_label("customer").has("c_nationkey", 4).as_("c").out("placed").as_("o"), c_custkey="c", o_orderkey="o")
+    return _bound(_g(spark, sf_dir).V().has_label("customer").has("c_nationkey", 4).as_("c").out("placed").as_("o"), c_custkey="c", o_orderkey="o")
 
 
 def _bound(t, **names: str) -> DataFrame:
@@ -439,7 +439,7 @@ def repeat_times(spark, sf_dir):
 
 @query("WITH RECURSIVE w(conv_id, turn, start) AS (SELECT conv_id, turn, turn FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, w.start FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1), l AS (SELECT conv_id, max(turn) AS last FROM w GROUP BY conv_id) SELECT conv_id, last FROM l")
 def repeat_until(spark, sf_dir):
-    t = _g(spark, sf_dir).V().has_label("turn").has("turn", 0).until(__.not_(__.out("next"))).repeat(__.out("next"), most=4096) if False else _g(spark, sf_dir).V().has_label("turn").has("turn", 0).until(__.not_(__.out("next"))).repeat(__.out("next"))
+    t = _g(spark, sf_dir).V().has_label("turn").has("turn", 0).until(__.not_(__.out("next"))).repeat(__.out("next"))
     f = t.frame().load()
     return f.df.select(F.col("p_conv_id").alias("conv_id"), F.col("p_turn").alias("last"))
 
@@ -454,7 +454,7 @@ def emit_repeat(spark, sf_dir):
     return _g(spark, sf_dir).V().has_label("supplier").emit().repeat(__.out("in_nation", "in_region")).times(2).label().df().groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 4::INTEGER AS value, count(*) AS n FROM supplier" if False else "SELECT 2 AS value, count(*) AS n FROM supplier")
+@query("SELECT 2 AS value, count(*) AS n FROM supplier")
 def loops_nested(spark, sf_dir):
     t = _g(spark, sf_dir).V().has_label("supplier").repeat(__.repeat(__.out("in_nation", "in_region")).times(1)).times(2).loops()
     return t.df().groupBy("value").agg(F.count("*").alias("n"))

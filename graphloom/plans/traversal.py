@@ -9,6 +9,7 @@ no row numbers, so plans stay the same when tasks run again, and equal traverser
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -855,8 +856,9 @@ def local(f: Frame, t: Traversal) -> Frame:
 
 
 @step
-def repeat(f: Frame, body: Traversal, times=None, until=None, until_first=False, emit=None, emit_first=False, most: int = 100) -> Frame:
-    """Loops run on the driver over lazy frames. With a number of times the plan is simply unrolled; else each frontier is written and the loop ends when it is empty."""
+def repeat(f: Frame, body: Traversal, times=None, until=None, until_first=False, emit=None, emit_first=False, most: int | None = None) -> Frame:
+    """Loops run on the driver over lazy frames. With a number of times the plan is simply unrolled; else each frontier is written and the loop ends when it is empty.
+    On a graph with cycles it may never be: `most` loops then end in an error, not in a part of the result."""
     out: list[Frame] = []
 
     def slim(g: Frame) -> Frame:
@@ -868,7 +870,12 @@ def repeat(f: Frame, body: Traversal, times=None, until=None, until_first=False,
 
     if until is not None and until_first:
         f = split(f, until, True)
-    for i in range(1, (times if times is not None else most) + 1):
+    for i in itertools.count(1):
+        if most is not None and i > most:
+            raise RuntimeError(f"traversers are left after {most} loops")
+        if times == 0:
+            out.append(slim(f))
+            break
         if emit and emit_first:
             out.append(slim(f if emit is True else exists(f, emit, True)))
         f = run(f, optimize(body.steps))

@@ -45,7 +45,15 @@ def write_graphson(graph: PropertyGraph, path: str | None = None, labels=None) -
     e = parts[0]
     for x in parts[1:]:
         e = e.unionByName(x)
-    side = lambda here, there, name: e.groupBy(F.col(here).alias("id"), "label").agg(F.sort_array(F.collect_list(F.struct(F.col("eid").alias("id"), F.col(there).alias("inV" if here == "src" else "outV"), F.to_json("p").alias("p")))).alias("es")).groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", F.transform("es", lambda x: F.struct(x["id"].alias("id"), x["inV" if here == "src" else "outV"].alias("inV" if here == "src" else "outV"), F.from_json(x["p"], "map<string,string>").alias("properties"))).alias("es"))))).alias(name))
+
+    def side(here: str, there: str, name: str) -> DataFrame:
+        """A vertex's edges by label; sorted while properties are still text, as maps have no order."""
+        end = "inV" if here == "src" else "outV"
+        es = e.groupBy(F.col(here).alias("id"), "label").agg(F.sort_array(F.collect_list(F.struct(F.col("eid").alias("id"), F.col(there).alias(end), F.to_json("p").alias("p")))).alias("es"))
+        lists = es.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("label", "es"))).alias("ls"))
+        edge = lambda x: F.struct(x["id"].alias("id"), x[end].alias(end), F.from_json(x["p"], "map<string,string>").alias("properties"))
+        return lists.select("id", F.map_from_entries(F.transform("ls", lambda x: F.struct(x["label"].alias("label"), F.transform(x["es"], edge).alias("es")))).alias(name))
+
     v = graph.vertex_frame(labels).select("id", "label").join(props, "id", "left").join(side("src", "dst", "outE"), "id", "left").join(side("dst", "src", "inE"), "id", "left")
     lines = v.select(F.to_json(F.struct("id", "label", "inE", "outE", "properties")).alias("value"))
     if path:

@@ -36,8 +36,7 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     key = F.col("conv_id") * 4096 + F.col("turn")
     turns = t["conversations"].withColumn("turn_key", key)
     g.add_vertices("turn", turns, "turn_key")
-    none = lambda df: df
-    g.add_edges("in_region", none(t["nation"].select("n_nationkey", "n_regionkey")), "nation", c("n_nationkey"), "region", c("n_regionkey"), c("n_nationkey").cast("string"), multiplicity="MANY2ONE")
+    g.add_edges("in_region", t["nation"].select("n_nationkey", "n_regionkey"), "nation", c("n_nationkey"), "region", c("n_regionkey"), c("n_nationkey").cast("string"), multiplicity="MANY2ONE")
     g.add_edges("in_nation", t["customer"].select("c_custkey", "c_nationkey"), "customer", c("c_custkey"), "nation", c("c_nationkey"), F.concat(F.lit("c"), c("c_custkey")), multiplicity="MANY2ONE")
     g.add_edges("in_nation", t["supplier"].select("s_suppkey", "s_nationkey"), "supplier", c("s_suppkey"), "nation", c("s_nationkey"), F.concat(F.lit("s"), c("s_suppkey")), multiplicity="MANY2ONE")
     g.add_edges("placed", t["orders"].select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "customer", c("o_custkey"), "order", c("o_orderkey"), c("o_orderkey").cast("string"), multiplicity="ONE2MANY")
