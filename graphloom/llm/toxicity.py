@@ -2,11 +2,11 @@
 
 Training: earlier probabilities enter as out-of-fold predictions, so that a later model sees them as they will be on documents that no
 model was trained on. Features are the distinct words of a text (letters only, lower case) and their prefixes, hashed; a
-model keeps the `features` most telling ones and an L1 penalty leaves most of those at zero, so a long clean text gathers
-no score from common words. Weights are whole millionths: a score doesn't depend on the order of its sum.
+model keeps the `features` most telling ones, chosen by counts in Spark, and an L1 penalty leaves most of those at zero. Their weights are never negative: a text without
+telling words has no evidence against it, however short or long. Weights are whole millionths: a score doesn't depend on the order of its sum.
 
-The models are fitted on the driver on at most `per_class` labelled documents of each value of the last category (taken by a hash of the id);
-every document is scored, over its whole text.
+The models are fitted on the driver on at most `per_class` labelled documents of each value of the last category (taken by a hash of the id), of which the driver
+gets the chosen features only; every document is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import materialize
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE: dict = {}
 UNIT = 1_000_000
@@ -40,13 +42,13 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, l1: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """L1-penalised logistic regression (FISTA); the bias isn't penalised."""
+def _fit_linear(x: np.ndarray, y: np.ndarray, l1: float, words: int, steps: int = 150) -> tuple[np.ndarray, float]:
+    """L1-penalised logistic regression (FISTA); the first `words` weights stay at 0 or above, the bias isn't penalised."""
     n, k = x.shape
     w, b, v, c, t = np.zeros(k), 0.0, np.zeros(k), 0.0, 1.0
     u = np.ones(k) / np.sqrt(k)
     for _ in range(15):  # the largest singular value sets the step
-        u = x.T @ (x @ u + u.sum() * 0)
+        u = x.T @ (x @ u)
         size = np.linalg.norm(u)
         u = u / (size or 1.0)
     lr = 1 / (0.25 * (size + n) / n + 1e-9)
@@ -54,6 +56,7 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, l1: float, steps: int = 150) -> tu
         g = (_sigmoid(x @ v + c) - y) / n
         w2 = v - lr * (x.T @ g)
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - lr * l1, 0)
+        w2[:words] = np.maximum(w2[:words], 0)
         b2 = c - lr * g.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
@@ -98,8 +101,91 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
         pos = np.bincount(inverse, weights=y[row], minlength=len(names))
         every = np.bincount(inverse, minlength=len(names))
         a, b = (pos + 0.5) / (y.sum() + 1), (every - pos + 0.5) / (len(y) - y.sum() + 1)
-        telling = np.where(every >= 2, np.abs(a - b) / np.sqrt((every + 1) / len(y) * (1 - every / (len(y) + 1)) + 1e-9), 0)
-        top = np.lexsort((names, -telling))[:features]
+        telling = np.where((every >= 2) & (a > b), (a - b) / np.sqrt((every + 1) / len(y) * (1 - every / (len(y) + 1)) + 1e-9), 0)
+        top = np.lexsort((names, -telling))[: min(features, int((telling > 0).sum()))]
+        at = np.full(len(names), -1)
+        at[top] = np.arange(len(top))
+        col = at[inverse]
+        x = np.zeros((len(rows), len(top)), np.float32)
+        x[row[col >= 0], col[col >= 0]] = 1
+        x = np.column_stack([x, oof]).astype(np.float32)
+        held = np.zeros(len(rows))
+        for f in range(folds):
+            w, b0 = _fit_linear(x[fold != f], y[fold != f], l1, len(top))
+            held[fold == f] = _sigmoid(x[fold == f] @ w + b0)
+        w, b0 = _fit_linear(x, y, l1, len(top))
+        model.words.append({int(names[top[i]]): int(v) for i in range(len(top)) if (v := round(float(w[i]) * UNIT))})
+        model.chain.append([round(float(v) * UNIT) for v in w[len(top) :]])
+        model.bias.append(round(float(b0) * UNIT))
+        oof = np.column_stack([oof, np.round(held, 6)])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 3000, features: int = 800, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
+    """Fit a chain on labelled documents; labels has id_col and a 0/1 column per category. Labels with nulls and labels without a document are left out."""
+    spark = docs.sparkSession
+    clean = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
+    last = f"y{len(categories) - 1}"
+    # Bounded by per_class for each value of the last category.
+    picked = [r for v in (0, 1) for r in clean.where(F.col(last) == v).orderBy(F.xxhash64("id"), *clean.columns).limit(per_class).collect()]
+    if not picked:
+        return fit_chain([], categories)
+    sample = spark.createDataFrame(picked, clean.schema)
+
+    marks = clean.columns[1:]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "f": [text_features(t) for t in pdf["text"]], **{c: pdf[c] for c in marks}})
+
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    kind = clean.schema["id"].dataType.simpleString()
+    featured = materialize(few.mapInPandas(run, f"id {kind}, f array<bigint>, " + ", ".join(f"{c} int" for c in marks)), "features")
+    total = featured.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in marks]).first()
+    counts = featured.select(F.explode("f").alias("f"), *marks).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in marks]).where("n >= 2")
+    counts = materialize(counts, "counts")
+    chosen: set[int] = set()
+    for c in marks:
+        n, pos = total["n"], total[c] or 0
+        gap = (F.col(c) + 0.5) / (pos + 1) - (F.col("n") - F.col(c) + 0.5) / (n - pos + 1)
+        telling = gap / F.sqrt((F.col("n") + 1) / n * (1 - F.col("n") / (n + 1)) + 1e-9)
+        chosen |= {r["f"] for r in counts.withColumn("t", telling).where("t > 0").orderBy(F.desc("t"), "f").limit(features).select("f").collect()}
+    held = F.array(*[F.lit(f) for f in sorted(chosen)]).cast("array<bigint>")
+    got = featured.select("id", F.array_sort(F.array_intersect("f", held)).alias("f"), *marks).collect()
+    got.sort(key=lambda r: (r["id"], r["f"], *r[2:]))
+    return fit_chain([(r["f"], list(r[2:])) for r in got], categories, features)
+
+
+def score(self, sums: np.ndarray) -> np.ndarray:
+        """Probabilities (rows, categories) from the sums of word weights (rows, categories)."""
+        p = np.zeros(sums.shape)
+        for k in range(sums.shape[1]):
+            z = sums[:, k] + self.bias[k] + (p[:, :k] * np.array(self.chain[k], float)).sum(axis=1)
+            p[:, k] = np.round(_sigmoid(z / UNIT), 6)
+        return p
+
+
+def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ...], features: int = 800, l1: float = 0.001, folds: int = 4) -> ChainModel:
+    """rows: (feature hashes, label 0/1 per category). Without rows, or with one value only, a category's probability is constant."""
+    model = ChainModel(tuple(categories))
+    y_all = np.array([y for _, y in rows], float).reshape(len(rows), len(categories))
+    names, inverse = np.unique(np.concatenate([np.array(f, np.int64) for f, _ in rows] or [np.zeros(0, np.int64)]), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows]).astype(np.int64)
+    oof = np.zeros((len(rows), 0))
+    fold = np.arange(len(rows)) % folds
+    for k in range(len(categories)):
+        y = y_all[:, k]
+        if len(y) == 0 or y.min() == y.max():
+            model.words.append({})
+            model.chain.append([0] * k)
+            model.bias.append(int(UNIT * (0 if len(y) and y.min() == 1 else -10)) + (10 * UNIT if len(y) and y.min() == 1 else 0))
+            oof = np.column_stack([oof, np.full(len(rows), y.min() if len(y) else 0.0)])
+            continue
+        pos = np.bincount(inverse, weights=y[row], minlength=len(names))
+        every = np.bincount(inverse, minlength=len(names))
+        a, b = (pos + 0.5) / (y.sum() + 1), (every - pos + 0.5) / (len(y) - y.sum() + 1)
+        telling = np.where((every >= 2) & (a > b), (a - b) / np.sqrt((every + 1) / len(y) * (1 - every / (len(y) + 1)) + 1e-9), 0)
+        top = np.lexsort((names, -telling))[: min(features, int((telling > 0).sum()))]
         at = np.full(len(names), -1)
         at[top] = np.arange(len(top))
         col = at[inverse]
@@ -108,9 +194,9 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
         x = np.column_stack([x, oof]).astype(np.float32)
         held = np.zeros(len(rows))
         for f in range(folds):
-            w, b0 = _fit_linear(x[fold != f], y[fold != f], l1)
+            w, b0 = _fit_linear(x[fold != f], y[fold != f], l1, len(top))
             held[fold == f] = _sigmoid(x[fold == f] @ w + b0)
-        w, b0 = _fit_linear(x, y, l1)
+        w, b0 = _fit_linear(x, y, l1, len(top))
         model.words.append({int(names[top[i]]): int(v) for i in range(len(top)) if (v := round(float(w[i]) * UNIT))})
         model.chain.append([round(float(v) * UNIT) for v in w[len(top) :]])
         model.bias.append(round(float(b0) * UNIT))
@@ -118,7 +204,7 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 3000, features: int = 800, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
     """Fit a chain on labelled documents; labels has id_col and a 0/1 column per category. Labels with nulls and labels without a document are left out."""
     spark = docs.sparkSession
     clean = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
