@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.lineage import ship
 from graphloom.schema import EdgeLabel, GraphSchema, PropertyKey, VertexLabel
 
 SHIFT = 56
@@ -49,6 +50,9 @@ class PropertyGraph:
     #: label -> number in the ids
     numbers: dict[str, int] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
     def number(self, label: str) -> int:
         return self.numbers.setdefault(label, len(self.numbers) + 1)
 

@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever its working folder. On a cluster without that
+    path, give the package to spark-submit as --py-files."""
+    here, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and Spark runs in one process, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
