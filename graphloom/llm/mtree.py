@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, per_bucket
+from graphloom.llm.common import materialize, per_bucket, ship
 
 #: Whole numbers up to this have exact products and sums in doubles for up to 2048 components.
 EXACT = 1 << 20
@@ -103,8 +103,9 @@ class MTree:
                 near = np.flatnonzero(np.abs(to_routing - d) <= limit) if has_parent else np.arange(b - a)
                 if not len(near):
                     continue
-                s = self.points[a + near] @ query
-                ids = self.ids[a + near]
+                rows = slice(a, b) if len(near) == b - a else a + near
+                s = self.points[rows] @ query
+                ids = self.ids[rows]
                 worst = found[0][0] if len(found) == k else -np.inf
                 for j in np.flatnonzero((s >= worst) & (ids != own)):
                     x = (int(s[j]), -int(ids[j]))
@@ -137,7 +138,7 @@ def _matrix(values, width: int) -> np.ndarray:
     return out
 
 
-def build(vectors: DataFrame, width: int, shard_rows: int = 4096, page: int = 64) -> DataFrame:
+def build(vectors: DataFrame, width: int, shard_rows: int = 8192, page: int = 512) -> DataFrame:
     """One row (shard, tree) per shard of about `shard_rows` vectors, dealt by a hash of id and vector; written to the shared folder."""
     rows = vectors.count()
     shards = per_bucket(rows, shard_rows)
@@ -149,7 +150,7 @@ def build(vectors: DataFrame, width: int, shard_rows: int = 4096, page: int = 64
     return materialize(dealt.groupBy("shard").applyInPandas(load, "shard int, tree binary"), "mtrees")
 
 
-def top_k(vectors: DataFrame, queries, k: int = 5, scale: int = 256, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries, k: int = 5, scale: int = 256, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 8192, page: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that the condition `queries` (a Column over `id`) picks, the k rows with the highest inner product of whole numbers,
     ties to the smaller id; fewer if there are fewer.
 
@@ -157,12 +158,13 @@ def top_k(vectors: DataFrame, queries, k: int = 5, scale: int = 256, block: int
     its own. Repeated rows are candidates each. Components beyond EXACT after scaling are refused: their products wouldn't be exact. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    ship(spark)
     v = materialize(whole_numbers(vectors, scale, id_col, vector_col), "vectors")
     stats = v.agg(F.max(F.size("v")), F.max(F.greatest(F.coalesce(F.array_max("v"), F.lit(0.0)), -F.coalesce(F.array_min("v"), F.lit(0.0))))).first()
     width = stats[0] or 0
     if (stats[1] or 0) > EXACT:
         raise ValueError(f"components must be at most {EXACT} after scaling")
-    trees = build(v, width, shard_rows)
+    trees = build(v, width, shard_rows, page)
     asked = v.where(queries)
     # Blocks by range of id: no query block outgrows a broadcast, whatever the table's size.
     blocks = per_bucket(asked.count(), block)

@@ -63,12 +63,12 @@ def test_flat_graph_of_nothing(spark):
     assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
 
 
-@pytest.mark.parametrize("block,shard", [(2048, 4096), (4, 70)])
-def test_top_k(spark, block, shard):
+@pytest.mark.parametrize("block,shard,page", [(2048, 4096, 512), (4, 70, 8)])
+def test_top_k(spark, block, shard, page):
     rows = vectors()
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, shard string")
     got = {}
-    for r in mtree.top_k(d, F.col("id") % 50 == 0, block=block, shard_rows=shard).orderBy("query_id", "rank").collect():
+    for r in mtree.top_k(d, F.col("id") % 50 == 0, block=block, shard_rows=shard, page=page).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     ok = {i: [int(np.floor(256 * float(x))) for x in v] for i, v, *_ in rows if v is not None and None not in v and np.isfinite(v).all()}
     want = {}
@@ -96,7 +96,7 @@ def test_tree_passes_over_pages():
 
     class Watch:
         def __getitem__(self, rows):
-            seen.append(len(rows))
+            seen.append(len(points[rows]))
             return points[rows]
 
     t.points = Watch()
