@@ -6,67 +6,21 @@ Everything that leaves a task goes through Spark's own writers into the folder t
 
 from __future__ import annotations
 
-import atexit
-import os
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.lineage import materialize, new_path, remove, shared_dir, ship
+
+__all__ = ["ascii_lower", "components", "materialize", "new_path", "per_bucket", "release", "shared_dir", "ship", "word_count"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset and Spark runs in one process, a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = f"/tmp/checkpoints/graphloom-{os.getpid()}"
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended; the folder is then the cluster's to clean
-        pass
-
-
-def _drop_all() -> None:
-    for spark, path in _made:
-        _drop(spark, path)
-
-
-atexit.register(_drop_all)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, keeps column pruning."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing will read again."""
     for path in df.inputFiles()[:1]:
-        _drop(df.sparkSession, path.rpartition("/")[0])
+        remove(df.sparkSession, path.rpartition("/")[0])
 
 
 def ascii_lower(col: Column) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, materialize
+from graphloom.llm.common import components, materialize, ship
 
 DEGREE, CANDIDATES, BEAM, ALPHA, SLACK = 24, 40, 32, 1.2, 0.03
 
@@ -147,6 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     `sample` and `centroids` (per label) bound what the driver fits and broadcasts.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     rows = materialize(rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("e").isNotNull() & finite, F.lit(False))), "vectors")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, ship
 
 _STATE: dict = {}
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -121,6 +121,7 @@ def tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, task, nth[, ids]): each document's ids and end_id, cut after every `capacity` ids.
     nth counts the task's earlier pieces of that length. Null text: empty, so end_id alone."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, materialize
+from graphloom.llm.common import components, materialize, ship
 
 SEED = 42
 
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fp})
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp bigint")
 
@@ -129,6 +130,7 @@ def blocks_for(count: int, radius: int, per_shard: int = 64) -> int:
 def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, shard_size: int = 1024) -> DataFrame:
     """(src, dst): links of distinct fingerprints (column fp) that join exactly those groups that links within the
     radius join. distinct should be a written table: it is read more than once."""
+    ship(distinct.sparkSession)
     blocks = blocks or blocks_for(distinct.count(), radius)
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, radius)]
     keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.*")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, ship
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE: dict = {}
@@ -29,9 +29,9 @@ UNIT = 1_000_000
 
 
 def word_features(word: str) -> list[int]:
-    """Hashes of one word (between white space): its letters, and the first 3, 4 and 5 of them where there are more."""
+    """Hashes of one word (between white space): its letters, and the first 3 to 8 of them where there are more."""
     w = "".join(_LETTERS.findall(word.lower()))[:64]
-    return [zlib.crc32(f"{k}{w[:k]}".encode()) for k in (3, 4, 5) if len(w) > k] + ([zlib.crc32(f"={w}".encode())] if w else [])
+    return [zlib.crc32(f"{k}{w[:k]}".encode()) for k in range(3, 9) if len(w) > k] + ([zlib.crc32(f"={w}".encode())] if w else [])
 
 
 def text_features(text: str | None) -> list[int]:
@@ -124,6 +124,7 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 3000, features: int = 800, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
     """Fit a chain on labelled documents; labels has id_col and a 0/1 column per category. Labels with nulls and labels without a document are left out."""
     spark = docs.sparkSession
+    ship(spark)
     clean = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
     last = f"y{len(categories) - 1}"
     # Bounded by per_class for each value of the last category.
@@ -156,83 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
     return fit_chain([(r["f"], list(r[2:])) for r in got], categories, features)
 
 
-def score(self, sums: np.ndarray) -> np.ndarray:
-        """Probabilities (rows, categories) from the sums of word weights (rows, categories)."""
-        p = np.zeros(sums.shape)
-        for k in range(sums.shape[1]):
-            z = sums[:, k] + self.bias[k] + (p[:, :k] * np.array(self.chain[k], float)).sum(axis=1)
-            p[:, k] = np.round(_sigmoid(z / UNIT), 6)
-        return p
-
-
-def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ...], features: int = 800, l1: float = 0.001, folds: int = 4) -> ChainModel:
-    """rows: (feature hashes, label 0/1 per category). Without rows, or with one value only, a category's probability is constant."""
-    model = ChainModel(tuple(categories))
-    y_all = np.array([y for _, y in rows], float).reshape(len(rows), len(categories))
-    names, inverse = np.unique(np.concatenate([np.array(f, np.int64) for f, _ in rows] or [np.zeros(0, np.int64)]), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows]).astype(np.int64)
-    oof = np.zeros((len(rows), 0))
-    fold = np.arange(len(rows)) % folds
-    for k in range(len(categories)):
-        y = y_all[:, k]
-        if len(y) == 0 or y.min() == y.max():
-            model.words.append({})
-            model.chain.append([0] * k)
-            model.bias.append(int(UNIT * (0 if len(y) and y.min() == 1 else -10)) + (10 * UNIT if len(y) and y.min() == 1 else 0))
-            oof = np.column_stack([oof, np.full(len(rows), y.min() if len(y) else 0.0)])
-            continue
-        pos = np.bincount(inverse, weights=y[row], minlength=len(names))
-        every = np.bincount(inverse, minlength=len(names))
-        a, b = (pos + 0.5) / (y.sum() + 1), (every - pos + 0.5) / (len(y) - y.sum() + 1)
-        telling = np.where((every >= 2) & (a > b), (a - b) / np.sqrt((every + 1) / len(y) * (1 - every / (len(y) + 1)) + 1e-9), 0)
-        top = np.lexsort((names, -telling))[: min(features, int((telling > 0).sum()))]
-        at = np.full(len(names), -1)
-        at[top] = np.arange(len(top))
-        col = at[inverse]
-        x = np.zeros((len(rows), len(top)), np.float32)
-        x[row[col >= 0], col[col >= 0]] = 1
-        x = np.column_stack([x, oof]).astype(np.float32)
-        held = np.zeros(len(rows))
-        for f in range(folds):
-            w, b0 = _fit_linear(x[fold != f], y[fold != f], l1, len(top))
-            held[fold == f] = _sigmoid(x[fold == f] @ w + b0)
-        w, b0 = _fit_linear(x, y, l1, len(top))
-        model.words.append({int(names[top[i]]): int(v) for i in range(len(top)) if (v := round(float(w[i]) * UNIT))})
-        model.chain.append([round(float(v) * UNIT) for v in w[len(top) :]])
-        model.bias.append(round(float(b0) * UNIT))
-        oof = np.column_stack([oof, np.round(held, 6)])
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 3000, features: int = 800, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
-    """Fit a chain on labelled documents; labels has id_col and a 0/1 column per category. Labels with nulls and labels without a document are left out."""
-    spark = docs.sparkSession
-    clean = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
-    last = f"y{len(categories) - 1}"
-    # Bounded by per_class for each value of the last category.
-    picked = [r for v in (0, 1) for r in clean.where(F.col(last) == v).orderBy(F.xxhash64("id"), *clean.columns).limit(per_class).collect()]
-    if not picked:
-        return fit_chain([], categories)
-    sample = spark.createDataFrame(picked, clean.schema)
-
-    marks = clean.columns[1:]
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "f": [text_features(t) for t in pdf["text"]], **{c: pdf[c] for c in marks}})
-
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    kind = clean.schema["id"].dataType.simpleString()
-    got = few.mapInPandas(run, f"id {kind}, f array<bigint>, " + ", ".join(f"{c} int" for c in marks)).collect()
-    got.sort(key=lambda r: (r["id"], zlib.crc32(np.array(r["f"], np.int64).tobytes()), *r[2:]))
-    return fit_chain([(r["f"], list(r[2:])) for r in got], categories)
-
-
 def score(docs: DataFrame, model: ChainModel, text_col: str = "text", prefix: str = "p_", threshold: float = 0.5, flag: str = "is_toxic") -> DataFrame:
     """docs with a probability per category and the decision on the last one. Null or empty text: the bias alone decides.
 
     Columns of docs stay as they are; new names that clash replace none: the clash is an error of Spark's, choose another prefix or flag.
     """
+    ship(docs.sparkSession)
     known, k, key = {f for w in model.words for f in w}, len(model.categories), f"{id(model)}-{sum(model.bias)}"
     tables = [{f: w.get(f, 0) for f in known} for w in model.words]
 

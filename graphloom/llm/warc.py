@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, new_path
+from graphloom.llm.common import materialize, new_path, ship
 
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,6 +83,7 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 1 << 30, id_
     The payload is the html in UTF-8; null: empty. Of rows with equal payloads of least_bytes or more, those with the largest id are responses, the others revisits of it;
     null ids revisit any id. Repeated rows are records each. Other columns are not read. Empty table: an empty index.
     """
+    ship(pages.sparkSession)
     folder = new_path(pages.sparkSession, "warc")
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("key", F.sha2("body", 256))
@@ -118,6 +119,7 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 1 << 30, id_
 def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, chunk: int = 1 << 25, payloads: bool = True) -> DataFrame:
     """The records (RECORD) of the selected index rows. Rows are dealt by file and `chunk` bytes of it and sorted; ranges at most `gap` apart are read at once, up to `most` bytes.
     payload is null for revisits, and for all if not payloads."""
+    ship(selected.sparkSession)
     names = [c.split()[0] for c in RECORD.split(", ")]
     at = (F.col("offset") / chunk).cast("int")
     dealt = selected.select("file", "offset", "length").repartition("file", at).sortWithinPartitions("file", "offset")
