@@ -42,19 +42,19 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, l1: float, words: int, steps: int = 150) -> tuple[np.ndarray, float]:
+def _fit_linear(x: np.ndarray, y: np.ndarray, l1: float, words: int, steps: int = 300) -> tuple[np.ndarray, float]:
     """L1-penalised logistic regression (FISTA); the first `words` weights stay at 0 or above, the bias isn't penalised."""
     n, k = x.shape
     w, b, v, c, t = np.zeros(k), 0.0, np.zeros(k), 0.0, 1.0
-    u = np.ones(k) / np.sqrt(k)
+    u = np.ones(k, x.dtype) / np.sqrt(max(1, k))
     for _ in range(15):  # the largest singular value sets the step
         u = x.T @ (x @ u)
         size = np.linalg.norm(u)
         u = u / (size or 1.0)
     lr = 1 / (0.25 * (size + n) / n + 1e-9)
     for _ in range(steps):
-        g = (_sigmoid(x @ v + c) - y) / n
-        w2 = v - lr * (x.T @ g)
+        g = (_sigmoid(x @ v.astype(x.dtype) + c) - y) / n
+        w2 = v - lr * (x.T @ g.astype(x.dtype))
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - lr * l1, 0)
         w2[:words] = np.maximum(w2[:words], 0)
         b2 = c - lr * g.sum()
@@ -82,7 +82,7 @@ class ChainModel:
         return p
 
 
-def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ...], features: int = 800, l1: float = 0.001, folds: int = 4) -> ChainModel:
+def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ...], features: int = 800, l1: float = 0.00005, folds: int = 4) -> ChainModel:
     """rows: (feature hashes, label 0/1 per category). Without rows, or with one value only, a category's probability is constant."""
     model = ChainModel(tuple(categories))
     y_all = np.array([y for _, y in rows], float).reshape(len(rows), len(categories))
