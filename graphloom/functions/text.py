@@ -38,16 +38,20 @@ def _contains(c: Column, query: str) -> Column:
     words = _query_tokens(query)
     if not words:
         return F.lit(False)
-    held = tokens(c)
-    return F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(held, w))
+    # The tokens stand once in the expression, outside any lambda: they are made once per row.
+    return F.size(F.array_except(F.array(*map(F.lit, words)), tokens(c))) == 0
+
+
+def marked(held: Column) -> Column:
+    """Tokens as text, each between spaces of its own; tokens hold no spaces, so a phrase is a substring."""
+    return F.concat(F.lit(" "), F.array_join(held, "  "), F.lit(" "))
 
 
 def _phrase(c: Column, query: str) -> Column:
     words = _query_tokens(query)
     if not words:
         return F.lit(False)
-    held, q = tokens(c), F.array(*map(F.lit, words))
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(held) - len(words) + 1, F.lit(1))), lambda i: F.slice(held, i, len(words)) == q)
+    return marked(tokens(c)).contains(" " + "  ".join(words) + " ")
 
 
 def fuzzy_distance(term: str) -> int:

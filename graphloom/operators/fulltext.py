@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import tokens
+from graphloom.functions.text import marked, tokens
 from graphloom.graph import PropertyGraph
 
 # The usual constants of BM25.
@@ -126,8 +126,10 @@ class IndexQuery:
         if t.kind == "fuzzy":
             return F.size(F.filter(x, lambda w: F.levenshtein(w, F.lit(t.text), 2).between(0, 2)))
         q = [w for w in re.split(r"[^\w]|_", t.text.lower()) if len(w) >= 2]
-        arr = F.array(*map(F.lit, q))
-        return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x) - len(q) + 1, F.lit(1))), lambda i: F.slice(x, i, len(q)) == arr))
+        if not q:
+            return F.lit(0)
+        line, phrase = marked(x), " " + "  ".join(q) + " "
+        return ((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
 
     def results(self) -> DataFrame:
         """Matching rows with score, best first (or by the given order), then by id."""
