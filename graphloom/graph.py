@@ -33,17 +33,50 @@ def _entry(key: str):
     return lambda v: F.struct(F.lit(key).alias("key"), v.alias("value"))
 
 
-@dataclass
+class Tables(dict):
+    """label -> DataFrame, or a function that makes it when it is first asked for: a query opens only the tables it needs."""
+
+    def __getitem__(self, label: str) -> DataFrame:
+        got = super().__getitem__(label)
+        if callable(got):
+            got = got()
+            self[label] = got
+        return got
+
+    def items(self):
+        return [(x, self[x]) for x in self]
+
+    def values(self):
+        return [self[x] for x in self]
+
+    def get(self, label, default=None):
+        return self[label] if label in self else default
+
+    def copy(self) -> Tables:
+        return Tables(super().items())
+
+
 class EdgeTable:
-    df: DataFrame
-    out_label: str
-    in_label: str
+    """df: a DataFrame or a function that makes it."""
+
+    def __init__(self, df, out_label: str, in_label: str) -> None:
+        self._df, self.out_label, self.in_label = df, out_label, in_label
+
+    @property
+    def df(self) -> DataFrame:
+        if callable(self._df):
+            self._df = self._df()
+        return self._df
+
+    @df.setter
+    def df(self, df) -> None:
+        self._df = df
 
 
 @dataclass
 class PropertyGraph:
     spark: SparkSession
-    vertices: dict[str, DataFrame] = field(default_factory=dict)
+    vertices: Tables = field(default_factory=dict)
     edges: dict[str, list[EdgeTable]] = field(default_factory=dict)
     schema: GraphSchema = field(default_factory=GraphSchema)
     variables: dict[str, object] = field(default_factory=dict)
@@ -52,14 +85,19 @@ class PropertyGraph:
 
     def __post_init__(self) -> None:
         ship(self.spark)
+        self.vertices = self.vertices if isinstance(self.vertices, Tables) else Tables(self.vertices)
 
     def number(self, label: str) -> int:
         return self.numbers.setdefault(label, len(self.numbers) + 1)
 
     def add_vertices(self, label: str, df: DataFrame, key: str, string_key: bool = False) -> PropertyGraph:
-        """df's columns become properties; `key` makes the id."""
-        make = make_string_id if string_key else make_id
-        self.vertices[label] = df.withColumn("id", make(self.number(label), F.col(key)))
+        """df's columns become properties; `key` makes the id. df may be a function that makes the DataFrame once it is needed."""
+        make, number = make_string_id if string_key else make_id, self.number(label)
+        if callable(df):
+            self.vertices[label] = lambda: df().withColumn("id", make(number, F.col(key)))
+            self.schema.vertex_labels[label] = VertexLabel(label)
+            return self
+        self.vertices[label] = df.withColumn("id", make(number, F.col(key)))
         self._learn(label, df)
         return self
 
@@ -67,12 +105,13 @@ class PropertyGraph:
         """df's columns are kept as properties, as they are; src, dst and eid come from the given expressions."""
         out_id = (make_string_id if out_string else make_id)(self.number(out_label), out_key)
         in_id = (make_string_id if in_string else make_id)(self.number(in_label), in_key)
-        table = df.withColumns({"src": out_id, "dst": in_id, "eid": eid})
+        ids = {"src": out_id, "dst": in_id, "eid": eid}
+        table = (lambda: df().withColumns(ids)) if callable(df) else df.withColumns(ids)
         self.edges.setdefault(label, []).append(EdgeTable(table, out_label, in_label))
         have = self.schema.edge_labels.get(label)
         ends = (have.connections if have else ()) + ((out_label, in_label),)
-        self.schema.edge_labels[label] = EdgeLabel(label, multiplicity, ends, tuple(df.columns))
-        for c, t in df.dtypes:
+        self.schema.edge_labels[label] = EdgeLabel(label, multiplicity, ends, () if callable(df) else tuple(df.columns))
+        for c, t in [] if callable(df) else df.dtypes:
             self.schema.keys.setdefault(c, PropertyKey(c, t))
         return self
 
@@ -107,10 +146,10 @@ class PropertyGraph:
     def property_frame(self, labels=None, keys=None) -> DataFrame:
         """(id, label, key, value: string): every vertex property as an element; arrays give a row per item."""
         parts = []
-        for x, df in self.vertices.items():
+        for x in self.vertices:
             if labels is not None and x not in labels:
                 continue
-            items = []
+            df, items = self.vertices[x], []
             for c, t in df.dtypes:
                 if c in RESERVED or (keys and c not in keys):
                     continue
@@ -152,4 +191,4 @@ class PropertyGraph:
     def copy(self) -> PropertyGraph:
         import copy
 
-        return PropertyGraph(self.spark, dict(self.vertices), {k: list(v) for k, v in self.edges.items()}, copy.deepcopy(self.schema), dict(self.variables), dict(self.numbers))
+        return PropertyGraph(self.spark, self.vertices.copy(), {k: list(v) for k, v in self.edges.items()}, copy.deepcopy(self.schema), dict(self.variables), dict(self.numbers))
