@@ -114,17 +114,20 @@ def _mix(base: DataFrame, weights, share, cap) -> DataFrame:
     plan = materialize(planned_copies(h, duals, targets, cap), "copies")
     # Rank within (source, size) in two steps: documents of a bucket, then what the buckets before it hold.
     buckets = per_bucket(hist.agg(F.sum("n")).first()[0] or 0, 2_000)
-    dealt = base.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("in_bucket"))
-    earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # A key without nulls, so that the window and the join below want the same dealing and wide rows are shuffled once.
+    key = ["source_key", "size", "bucket"]
+    bucket = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(buckets)).cast("int")
+    dealt = base.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("bucket", bucket)
+    counts = dealt.groupBy("source", *key).agg(F.count("*").alias("in_bucket"))
+    earlier = Window.partitionBy("source_key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bins = plan.join(hist.withColumnRenamed("source", "p_source").withColumnRenamed("size", "p_size"), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).select("p_source", "p_size", "n", "copies")
     slots = counts.withColumn("before", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)))
     slots = slots.join(bins, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     goal = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     slots = slots.join(goal, F.col("source").eqNullSafe(F.col("t_source")))
-    slots = materialize(slots.select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("bucket").alias("s_bucket"), "before", "n", F.col("copies").alias("planned"), "source_size", "target"), "slots")
-    nth = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64("id"), F.col("id")))
-    ranked = dealt.withColumn("nth", nth).join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("bucket") == F.col("s_bucket")))
+    slots = materialize(slots.select(*key, "before", "n", F.col("copies").alias("planned"), "source_size", "target"), "slots")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("id"), F.col("id")))
+    ranked = dealt.withColumn("nth", nth).join(slots, key)
     rank = F.col("before") + F.col("nth") - 1
     extra = F.when(rank < F.col("planned") % F.col("n"), 1).otherwise(0)
     copies = (F.floor(F.col("planned") / F.col("n")) + extra).cast("int").alias("copies")
