@@ -18,11 +18,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose fingerprints are linked, the row with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs).where("id = component_id or component_id is null").select("id").distinct()
-    groups = common.materialize(groups, "kept")
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    # Rows that share the doc_id are copies of the kept one or other texts under its id: one stays.
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    groups = simhash.near_duplicates(docs)
+    kept = common.materialize(groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct(), "kept")
+    # Texts are shuffled once, by doc_id, at every size; rows that share the id (copies of the kept one, or other texts under it) then meet without another shuffle.
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Groups in which no row has an id: one row of each fingerprint.
+    without = docs.where("doc_id is null").withColumn("_fp", F.lit(None).cast("bigint"))
+    if not groups.where("component_id is null").isEmpty():
+        fps = simhash.fingerprints(docs.where("doc_id is null").select(F.struct(*docs.columns).alias("doc_id"), "text"))
+        alone = common.materialize(groups.where("component_id is null").select("fp").distinct(), "alone")
+        without = fps.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*").withColumn("_fp", F.lit(None).cast("bigint"))
+    else:
+        without = without.where("false")
+    return named.select(*docs.columns).unionByName(without.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
