@@ -6,7 +6,8 @@ model keeps the `features` most telling ones, chosen by counts in Spark, and an
 telling words has no evidence against it, however short or long. Weights are whole millionths: a score doesn't depend on the order of its sum.
 
 The models are fitted on the driver on at most `per_class` labelled documents of each value of the last category (taken by a hash of the id), of which the driver
-gets the chosen features only; every document is scored, over its whole text.
+gets the chosen features only. Each value's rows weigh as much as all labels of that value, in the choice of features and in the fit, so a probability
+means the same at every size. Every document is scored, over its whole text.
 """
 
 from __future__ import annotations
@@ -42,18 +43,19 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, l1: float, words: int, steps: int = 300) -> tuple[np.ndarray, float]:
-    """L1-penalised logistic regression (FISTA); the first `words` weights stay at 0 or above, the bias isn't penalised."""
-    n, k = x.shape
+def _fit_linear(x: np.ndarray, y: np.ndarray, share: np.ndarray, l1: float, words: int, steps: int = 300) -> tuple[np.ndarray, float]:
+    """L1-penalised logistic regression (FISTA) of rows that count `share` each; the first `words` weights stay at 0 or above, the bias isn't penalised."""
+    n, k = share.sum(), x.shape[1]
+    part = share.astype(x.dtype)
     w, b, v, c, t = np.zeros(k), 0.0, np.zeros(k), 0.0, 1.0
     u = np.ones(k, x.dtype) / np.sqrt(max(1, k))
     for _ in range(15):  # the largest singular value sets the step
-        u = x.T @ (x @ u)
+        u = x.T @ (part * (x @ u))
         size = np.linalg.norm(u)
         u = u / (size or 1.0)
     lr = 1 / (0.25 * (size + n) / n + 1e-9)
     for _ in range(steps):
-        g = (_sigmoid(x @ v.astype(x.dtype) + c) - y) / n
+        g = share * (_sigmoid(x @ v.astype(x.dtype) + c) - y) / n
         w2 = v - lr * (x.T @ g.astype(x.dtype))
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - lr * l1, 0)
         w2[:words] = np.maximum(w2[:words], 0)
@@ -82,14 +84,16 @@ class ChainModel:
         return p
 
 
-def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ...], features: int = 800, l1: float = 0.00005, folds: int = 4) -> ChainModel:
-    """rows: (feature hashes, label 0/1 per category). Without rows, or with one value only, a category's probability is constant."""
+def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ...], features: int = 800, l1: float = 0.00005, folds: int = 4, weights: tuple[float, float] = (1.0, 1.0)) -> ChainModel:
+    """rows: (feature hashes, label 0/1 per category); those with 0 and 1 in the last category count weights[0] and weights[1] each. Without rows, or with one value only, a category's probability is constant."""
     model = ChainModel(tuple(categories))
     y_all = np.array([y for _, y in rows], float).reshape(len(rows), len(categories))
     names, inverse = np.unique(np.concatenate([np.array(f, np.int64) for f, _ in rows] or [np.zeros(0, np.int64)]), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows]).astype(np.int64)
     oof = np.zeros((len(rows), 0))
     fold = np.arange(len(rows)) % folds
+    share = np.where(y_all[:, -1] == 1, weights[1], weights[0])
+    seen, every = np.bincount(inverse, minlength=len(names)), np.bincount(inverse, weights=share[row], minlength=len(names))
     for k in range(len(categories)):
         y = y_all[:, k]
         if len(y) == 0 or y.min() == y.max():
@@ -98,10 +102,9 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
             model.bias.append(int(UNIT * (0 if len(y) and y.min() == 1 else -10)) + (10 * UNIT if len(y) and y.min() == 1 else 0))
             oof = np.column_stack([oof, np.full(len(rows), y.min() if len(y) else 0.0)])
             continue
-        pos = np.bincount(inverse, weights=y[row], minlength=len(names))
-        every = np.bincount(inverse, minlength=len(names))
-        a, b = (pos + 0.5) / (y.sum() + 1), (every - pos + 0.5) / (len(y) - y.sum() + 1)
-        telling = np.where((every >= 2) & (a > b), (a - b) / np.sqrt((every + 1) / len(y) * (1 - every / (len(y) + 1)) + 1e-9), 0)
+        pos, n, ones = np.bincount(inverse, weights=(share * y)[row], minlength=len(names)), share.sum(), (share * y).sum()
+        a, b = (pos + 0.5) / (ones + 1), (every - pos + 0.5) / (n - ones + 1)
+        telling = np.where((seen >= 2) & (a > b), (a - b) / np.sqrt((every + 1) / n * (1 - every / (n + 1)) + 1e-9), 0)
         top = np.lexsort((names, -telling))[: min(features, int((telling > 0).sum()))]
         at = np.full(len(names), -1)
         at[top] = np.arange(len(top))
@@ -111,9 +114,9 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
         x = np.column_stack([x, oof]).astype(np.float32)
         held = np.zeros(len(rows))
         for f in range(folds):
-            w, b0 = _fit_linear(x[fold != f], y[fold != f], l1, len(top))
+            w, b0 = _fit_linear(x[fold != f], y[fold != f], share[fold != f], l1, len(top))
             held[fold == f] = _sigmoid(x[fold == f] @ w + b0)
-        w, b0 = _fit_linear(x, y, l1, len(top))
+        w, b0 = _fit_linear(x, y, share, l1, len(top))
         model.words.append({int(names[top[i]]): int(v) for i in range(len(top)) if (v := round(float(w[i]) * UNIT))})
         model.chain.append([round(float(v) * UNIT) for v in w[len(top) :]])
         model.bias.append(round(float(b0) * UNIT))
@@ -131,6 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
     picked = [r for v in (0, 1) for r in clean.where(F.col(last) == v).orderBy(F.xxhash64("id"), *clean.columns).limit(per_class).collect()]
     if not picked:
         return fit_chain([], categories)
+    # What a picked row stands for: labels of its value over those picked, in units of the mean, so that the penalty weighs the same with and without a cut.
+    labelled = {r[last]: r["count"] for r in clean.groupBy(last).count().collect()}
+    taken = [sum(r[last] == v for r in picked) for v in (0, 1)]
+    unit = sum(labelled.get(v, 0) for v in (0, 1)) / sum(taken)
+    weights = tuple(labelled.get(v, 0) / taken[v] / unit if taken[v] else 1.0 for v in (0, 1))
     sample = spark.createDataFrame(picked, clean.schema)
 
     marks = clean.columns[1:]
@@ -142,19 +150,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
     kind = clean.schema["id"].dataType.simpleString()
     featured = materialize(few.mapInPandas(run, f"id {kind}, f array<bigint>, " + ", ".join(f"{c} int" for c in marks)), "features")
-    total = featured.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in marks]).first()
-    counts = featured.select(F.explode("f").alias("f"), *marks).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in marks]).where("n >= 2")
+    # Whole numbers per value of the last category, weighted afterwards: the sums don't depend on their order.
+    sides = [F.when(F.col(last) == v, 1).otherwise(0) for v in (0, 1)]
+    tally = [F.sum(side if c == "n" else side * F.col(c)).alias(f"{c}_{v}") for v, side in enumerate(sides) for c in ("n", *marks)]
+    total = featured.agg(*tally).first()
+    counts = featured.select(F.explode("f").alias("f"), *marks).groupBy("f").agg(F.count("*").alias("seen"), *tally).where("seen >= 2")
     counts = materialize(counts, "counts")
     chosen: set[int] = set()
     for c in marks:
-        n, pos = total["n"], total[c] or 0
-        gap = (F.col(c) + 0.5) / (pos + 1) - (F.col("n") - F.col(c) + 0.5) / (n - pos + 1)
-        telling = gap / F.sqrt((F.col("n") + 1) / n * (1 - F.col("n") / (n + 1)) + 1e-9)
+        n, pos = (sum(weights[v] * (total[f"{x}_{v}"] or 0) for v in (0, 1)) for x in ("n", c))
+        every, ones = (F.col(f"{x}_0") * weights[0] + F.col(f"{x}_1") * weights[1] for x in ("n", c))
+        gap = (ones + 0.5) / (pos + 1) - (every - ones + 0.5) / (n - pos + 1)
+        telling = gap / F.sqrt((every + 1) / n * (1 - every / (n + 1)) + 1e-9)
         chosen |= {r["f"] for r in counts.withColumn("t", telling).where("t > 0").orderBy(F.desc("t"), "f").limit(features).select("f").collect()}
     held = F.array(*[F.lit(f) for f in sorted(chosen)]).cast("array<bigint>")
     got = featured.select("id", F.array_sort(F.array_intersect("f", held)).alias("f"), *marks).collect()
     got.sort(key=lambda r: (r["id"], r["f"], *r[2:]))
-    return fit_chain([(r["f"], list(r[2:])) for r in got], categories, features)
+    return fit_chain([(r["f"], list(r[2:])) for r in got], categories, features, weights=weights)
 
 
 def score(docs: DataFrame, model: ChainModel, text_col: str = "text", prefix: str = "p_", threshold: float = 0.5, flag: str = "is_toxic") -> DataFrame:

@@ -53,3 +53,15 @@ def test_edges(spark):
     assert toxicity.score(docs.where("false"), toxicity.train(docs, none)).count() == 0
     one = spark.createDataFrame([(1, 0, 1)], "doc_id bigint, low_quality int, toxic int")
     assert all(r.is_toxic for r in toxicity.score(docs, toxicity.train(docs, one)).collect())
+
+
+def test_same_threshold_at_every_size(spark):
+    """One document in ten is toxic, and half of the toxic ones say a word that one clean one in six says too: no evidence for 0.5, whether or not labels are cut per class."""
+    rows = [(i, f"word{i % 7} other{i % 11} " + ("doubtful" if i % 20 == 0 or (i % 10 and i % 6 == 0) else "plain"), int(i % 10 == 0)) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), t) for i, _, t in rows], "doc_id bigint, low_quality int, toxic int")
+    whole, cut = (toxicity.score(docs, toxicity.train(docs, labels, per_class=n)).collect() for n in (5000, 100))
+    assert not any(r.is_toxic for r in whole) and not any(r.is_toxic for r in cut)
+    for name, share in (("p_toxic", 0.1), ("p_low_quality", 1 / 3)):
+        for rs in (whole, cut):
+            assert abs(sum(r[name] for r in rs) / len(rs) - share) < 0.07
