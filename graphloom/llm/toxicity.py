@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain: one linear model per category, in order; later models also see the earlier categories' probabilities.
 
 Training: earlier probabilities enter as out-of-fold predictions, so that a later model sees them as they will be on documents that no
-model was trained on. Features are the distinct words of a text (letters only, lower case) and their prefixes, hashed; a
-model keeps the `features` most telling ones, chosen by counts in Spark, and an L1 penalty leaves most of those at zero. Their weights are never negative: a text without
+model was trained on. Features are the distinct words of a text and their prefixes, hashed: the letters of each token between
+white space together, and each run of letters in it. Runs of scripts written without spaces, and runs too long to be a word, have their character n-grams as
+well, from every position. A model keeps the `features` most telling ones, chosen by counts in Spark, and an L1 penalty leaves most of those at zero. Their weights are never negative: a text without
 telling words has no evidence against it, however short or long. Weights are whole millionths: a score doesn't depend on the order of its sum.
 
 The models are fitted on the driver on at most `per_class` labelled documents of each value of the last category (taken by a hash of the id), of which the driver
@@ -13,9 +14,11 @@ means the same at every size. Every document is scored, over its whole text.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,14 +28,54 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import materialize, ship
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Scripts written without spaces between words: Thai to Tibetan, Myanmar, Khmer, Tai, Kana, Han, Yi, Javanese.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\ua980-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+#: Combining marks belong to the letter before them.
+_MARKS = "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M")
+#: Either group is one run.
+_RUNS = re.compile(rf"((?:(?=[{_UNSPACED}])[^\W\d_][{_MARKS}]*)+)|((?:(?![{_UNSPACED}])[^\W\d_][{_MARKS}]*)+)")
+#: A run of more letters is taken for several words whose white space was lost.
+LONG = 20
+_ODD = re.compile(f"[{_UNSPACED}{_MARKS}]")
 _CACHE: dict = {}
 UNIT = 1_000_000
 
 
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
+def _ngrams(run: str, sizes: range) -> set[str]:
+    return {run[i : i + n] for n in sizes for i in range(len(run) - n + 1)}
+
+
+@lru_cache(maxsize=1 << 16)
+def _whole(w: str) -> tuple[int, ...]:
+    return (*[_hash(f"{k}{w[:k]}") for k in range(3, 9) if len(w) > k], _hash(f"={w}")) if w else ()
+
+
 def word_features(word: str) -> list[int]:
-    """Hashes of one word (between white space): its letters, and the first 3 to 8 of them where there are more."""
-    w = "".join(_LETTERS.findall(word.lower()))[:64]
-    return [zlib.crc32(f"{k}{w[:k]}".encode()) for k in range(3, 9) if len(w) > k] + ([zlib.crc32(f"={w}".encode())] if w else [])
+    """Hashes of one token (between white space), each once: of its letters together and of each run of letters, that whole and its first 3 to 8 letters where there
+    are more. Unspaced runs: n-grams of 1 to 6 letters too. Long runs: n-grams of 3 to 8, and each piece of 4 to 16 as if it were a word."""
+    low = word.lower()
+    runs = _LETTERS.findall(low)
+    joined = "".join(runs)
+    if low.isascii() or not _ODD.search(low):  # nearly all tokens: no marks, no unspaced scripts
+        if len(runs) <= 1 and len(joined) <= LONG:
+            return list(_whole(joined))
+        pairs = [("", run) for run in runs]
+    else:
+        pairs = _RUNS.findall(low)
+    words, pieces, grams = {joined, *runs}, set(), set()
+    for unspaced, spaced in pairs:
+        run = unspaced or spaced
+        words |= {run, "".join(_LETTERS.findall(run))}
+        if unspaced:
+            grams |= _ngrams(run, range(1, 7))
+        elif len(run) > LONG:
+            grams |= _ngrams(run, range(3, 9))
+            pieces |= _ngrams(run, range(4, 17))
+    return list({h for w in words for h in _whole(w)} | {_hash(f"={w}") for w in pieces} | {_hash(f"~{g}") for g in grams})
 
 
 def text_features(text: str | None) -> list[int]:
@@ -183,24 +226,18 @@ def score(docs: DataFrame, model: ChainModel, text_col: str = "text", prefix: st
             _CACHE.clear()
             _CACHE.update(key=key, words={})
         cache = _CACHE["words"]
-        none = (0,) * k
-
-        def weights(word: str) -> tuple[int, ...]:
-            hit = [f for f in word_features(word) if f in known]
-            return tuple(sum(t[f] for f in hit) for t in tables) if hit else none
-
         def feature_sums(text) -> list[int]:
             words = set((text or "").split())
-            total, seen = list(none), set()
+            total, seen = [0] * k, set()
             for w in words:
                 got = cache.get(w)
                 if got is None:
-                    got = weights(w)
-                    if len(cache) > 300_000:
-                        cache.clear()
-                    cache[w] = got
-                if got is not none and any(got):
-                    seen.update(f for f in word_features(w) if f in known)
+                    got = tuple(f for f in word_features(w) if f in known)
+                    if len(w) <= 64:  # long tokens hardly come again
+                        if len(cache) > 300_000:
+                            cache.clear()
+                        cache[w] = got
+                seen.update(got)
             for f in seen:  # a feature counts once, in whichever words it stands
                 for i in range(k):
                     total[i] += tables[i][f]

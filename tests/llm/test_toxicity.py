@@ -65,3 +65,24 @@ def test_same_threshold_at_every_size(spark):
     for name, share in (("p_toxic", 0.1), ("p_low_quality", 1 / 3)):
         for rs in (whole, cut):
             assert abs(sum(r[name] for r in rs) / len(rs) - share) < 0.07
+
+
+def test_words_within_tokens():
+    """A word is seen behind markup, punctuation and other scripts, and anywhere in a run without spaces, however long."""
+    one = lambda w: set(toxicity.word_features(w))
+    for token in ("<p>idiot</p>", "you/idiot", "foo.Idiot", "a_idiot", "(you,idiot!)", "你idiot", "x" * 500 + "idiot" + "y" * 500, "i.d-i.o.t"):
+        assert toxicity.zlib.crc32(b"=idiot") in one(token), token
+    assert one("天气" * 300 + "笨蛋" + "天气" * 300) - one("天气" * 300) & one("笨蛋")
+    assert one("อากาศดี" * 50 + "โง่" + "อากาศดี" * 50) >= {f for f in one("โง่") if f in one("กโง่ก")} != set()
+    assert len(one("q" * 20_000)) < 50
+    assert one("idiot!") == one("idiot") and one("123") == one("") == set()
+
+
+def test_unspaced_texts(spark):
+    rng = random.Random(2)
+    fill = lambda n: "".join(rng.choices("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往", k=n))
+    rows = [(i, fill(200) + ("笨蛋" if i % 4 == 0 else "") + fill(200)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(160)], "doc_id bigint, low_quality int, toxic int")
+    got = {r.doc_id: r.is_toxic for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i] == (i % 4 == 0) for i in range(160, 240))
