@@ -17,20 +17,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose fingerprints are linked, the row with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs)
-    kept = common.materialize(groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct(), "kept")
-    # Texts are shuffled once, by doc_id, at every size; rows that share the id (copies of the kept one, or other texts under it) then meet without another shuffle.
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # Groups in which no row has an id: one row of each fingerprint.
-    without = docs.where("doc_id is null").withColumn("_fp", F.lit(None).cast("bigint"))
-    if not groups.where("component_id is null").isEmpty():
-        fps = simhash.fingerprints(docs.where("doc_id is null").select(F.struct(*docs.columns).alias("doc_id"), "text"))
-        alone = common.materialize(groups.where("component_id is null").select("fp").distinct(), "alone")
-        without = fps.join(alone, "fp", "left_semi").dropDuplicates(["fp"]).select("id.*").withColumn("_fp", F.lit(None).cast("bigint"))
-    else:
-        without = without.where("false")
-    return named.select(*docs.columns).unionByName(without.select(*docs.columns))
+    """Of each group of rows whose fingerprints are linked, one row: the smallest doc_id (any before null), then the smallest fingerprint and hash of the row."""
+    # Two hashes of all columns name a row; rows that are equal throughout share them.
+    values = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    keyed = docs.withColumns({"_h": F.xxhash64(*values), "_g": F.xxhash64(F.lit(1), *values)})
+    rows = simhash.fingerprints(keyed, keep=("_h", "_g"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("fp").alias("f"), "_h", "_g")).alias("first")
+    nodes = common.materialize(rows.groupBy("fp").agg(first), "nodes")
+    kept = common.materialize(simhash.grouped(nodes).groupBy("component").agg(F.min("first").alias("first")).select("first._h", "first._g"), "kept")
+    # Texts are shuffled once, by the hashes, at every size; equal rows then meet without another shuffle.
+    return keyed.join(kept.hint("merge"), ["_h", "_g"], "left_semi").dropDuplicates(["_h", "_g"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

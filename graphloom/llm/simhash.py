@@ -44,17 +44,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed bigint. One row per row of docs; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp) and the columns `keep`: fp is the fingerprint as a signed bigint. One row per row of docs; a null text counts as empty."""
 
     def run(batches):
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "fp": fp})
+            yield pd.DataFrame({"id": pdf["id"], "fp": fp, **{c: pdf[c] for c in keep}})
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep).mapInPandas(run, ", ".join([f"id {kind}, fp bigint", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]]))
 
 
 class BKTree:
@@ -165,6 +165,12 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, shard
     return dealt.repartition(*group).sortWithinPartitions(*group, "part", "fp").mapInPandas(run, "src bigint, dst bigint").distinct()
 
 
+def grouped(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """nodes (a written table whose fp are distinct) with component: one fingerprint of those that links within the radius join."""
+    linked = components(links(nodes.select("fp"), radius))
+    return materialize(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "labelled")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per row of docs: id, fp (signed bigint), component_id: the smallest id reachable over links of at most
     `radius` differing bits.
@@ -175,8 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    linked = components(links(nodes.select("fp"), radius))
-    labelled = materialize(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "labelled")
+    labelled = grouped(nodes, radius)
     least = materialize(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "components")
     final = materialize(labelled.join(least, "component").select("fp", "component_id"), "membership")
     return fps.join(final, "fp").select("id", "fp", "component_id")

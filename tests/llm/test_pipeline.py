@@ -35,3 +35,16 @@ def test_stages(spark, tmp_path):
     ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (str(r.doc_id), r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, ran)) == sorted(map(key, packed))
+
+
+def test_one_row_of_each_group(spark):
+    """Groups that share a doc_id, and rows without one: a row of each group stays."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(400))
+    a, b, c, d = (text() for _ in range(4))
+    near = next(x for i in range(400) if 0 < (simhash.fingerprint(x := " ".join((w := d.split())[:i] + ["zz"] + w[i + 1 :])) ^ simhash.fingerprint(d)).bit_count() <= 4)
+    rows = [(7, a), (7, b), (7, b), (3, c), (8, c), (8, c + " "), (None, d), (None, near), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.one_per_group(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got if r.text not in (d, near)) == sorted([(7, a), (7, b), (3, c)])
+    assert len(got) == 4
