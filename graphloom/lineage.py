@@ -45,6 +45,13 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            remove(df.sparkSession, path.rpartition("/")[0])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

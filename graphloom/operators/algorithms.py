@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.lineage import materialize
+from graphloom.lineage import materialize, release
 from graphloom.operators.pregel import Memory, VertexProgram, run_program
 
 
@@ -74,13 +74,14 @@ def shortest_distance(vertices: DataFrame, edges: DataFrame, source: int, weight
     return run_program(ShortestDistance(source, weight, max_depth, scope), vertices, least)[0].where("distance_to is not null").select("id", "distance_to")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): component is the smallest id reachable, edges taken both ways.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of an edge (src, dst: bigint), edges taken both ways: component is the smallest node reachable. Null ends, loops and repeated edges are ignored.
 
-    Alternating large-star and small-star rounds on the edges alone: the number of rounds grows with the logarithm of the size, not with the diameter.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) on the edges alone, each an aggregate and a join of written tables: the number of rounds grows with the
+    logarithm of the size, not with the diameter; hubs are pre-aggregated before the shuffle and their joins can be split at run time. A round's tables go once the next has been written.
     """
-    e = edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = materialize(e, "edges")
+    u, v = F.greatest("src", "dst"), F.least("src", "dst")
+    e = materialize(edges.where("src is not null and dst is not null and src != dst").select(u.alias("u"), v.alias("v")).distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -88,12 +89,21 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "below")
         moved = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(moved.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        new = _mark(e)
+        nxt = materialize(moved.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new = _mark(nxt)
+        release(e, least, large, below)
+        e = nxt
         if new == mark:
             break
         mark = new
-    return vertices.select("id").join(e.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) of all vertices: component is the smallest id reachable, edges taken both ways."""
+    named = components(edges).select(F.col("node").alias("id"), "component")
+    return vertices.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def _mark(e: DataFrame) -> tuple:
