@@ -9,20 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.lineage import materialize, new_path, remove, shared_dir, ship
+from graphloom.lineage import materialize, new_path, release, shared_dir, ship
+from graphloom.operators.algorithms import components
 
-__all__ = ["ascii_lower", "components", "materialize", "new_path", "per_bucket", "release", "shared_dir", "ship", "word_count"]
+__all__ = ["ascii_lower", "components", "materialize", "new_path", "per_bucket", "release", "shared_dir", "ship", "unused", "word_count"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def release(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing will read again."""
-    for path in df.inputFiles()[:1]:
-        remove(df.sparkSession, path.rpartition("/")[0])
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)
@@ -38,33 +33,9 @@ def per_bucket(rows: int, size: int = 20_000) -> int:
     return max(1, -(-rows // size))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected edges (src, dst: bigint): one row (node, component) per node of an edge,
-    component being its smallest node. Null ends, loops and repeated edges are ignored.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014), each an aggregate and a join of written tables,
-    so hubs are pre-aggregated before the shuffle and their joins can be split at run time; nothing is collected.
-    """
-    u, v = F.greatest("src", "dst"), F.least("src", "dst")
-    e = materialize(edges.where("src is not null and dst is not null and src != dst").select(u.alias("u"), v.alias("v")).distinct(), "edges")
-    mark = _mark(e)
-    while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "below")
-        moved = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = materialize(moved.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        new = _mark(nxt)
-        for x in (e, least, large, below):
-            release(x)
-        e = nxt
-        if new == mark:
-            break
-        mark = new
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def unused(taken: list[str], name: str) -> str:
+    """name, or else name with as many underscores before it as keep it apart from the columns in `taken` (Spark's names don't tell cases apart)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
