@@ -1,19 +1,22 @@
 """License scans by diagonal voting.
 
 Texts and templates are cut into words; every k-gram of a text whose hash is one of a template's is a vote for the diagonal (position in the text
-- position in the template). Votes are joined in Spark on hash and verified on the k-gram itself, summed per
-(text, template, diagonal), and neighbouring diagonals of a template (words put in or left out) are merged into one span.
-A phrase stands where all k-grams of it vote on one diagonal; a notice is found where enough of its k-grams vote on neighbouring ones.
+- position in the template). Votes are joined in Spark on hash and verified on the k-gram itself, and summed per (text, template, diagonal).
+A phrase stands where all k-grams of it vote on one diagonal. For notices, neighbouring diagonals (words put in or left out) are merged, and merged spans are verified: a span is
+a chain of votes that go forward both in the text and in the template, each template position once, with at most `shift` words more in the text than in the template between two
+of them; its coverage is its share of the template's k-grams.
 """
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower
+from graphloom.llm.common import ascii_lower, ship
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
@@ -66,14 +69,69 @@ def template_table(spark: SparkSession, templates: tuple[Template, ...], k: int
     return df.withColumn("h", F.xxhash64(*[f"g{i}" for i in range(k)]))
 
 
+def chains(votes: list[tuple[int, int]], grams: int, shift: int, least: float, k: int = K) -> list[tuple[float, int, int]]:
+    """(coverage, start, end) of the best chains of a template's votes (position in the text, in the template) with at least `least`, best first, none overlapping another in the text.
+
+    A vote follows another if both its positions are greater, and the text goes on by at most `shift` words more than the template does. Of equally long chains the one that
+    starts later, so is shorter, counts. A vote looks back at most `grams` + `shift` words, so time grows with the number of votes.
+    """
+    votes = sorted(votes)
+    long: list[tuple[int, int]] = []  # of the best chain that ends at each vote: votes, start
+    ends, first = [], 0
+    for i, (pos, at) in enumerate(votes):
+        while pos - votes[first][0] > grams + shift:
+            first += 1
+        n, start = 0, -1
+        for j in range(first, i):
+            p, a = votes[j]
+            if a < at and p < pos and pos - p - (at - a) <= shift and long[j] > (n, start):
+                n, start = long[j]
+        long.append((n + 1, start if n else pos))
+        if n + 1 >= least * grams:
+            ends.append((n + 1, long[i][1], pos + k))
+    out: list[tuple[float, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for n, start, end in sorted(ends, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        i = bisect.bisect_left(taken, (end, 0))
+        if i == 0 or taken[i - 1][1] <= start:
+            taken.insert(i, (start, end))
+            out.append((n / grams, start, end))
+    return out
+
+
+SPANS = "array<struct<template:int,start:bigint,end:bigint,coverage:double>>"
+
+
+def verified(diagonals, sizes: list[int], least: float, shift: int, k: int) -> list[tuple[int, int, int, float]]:
+    """Spans (template, start, end, coverage) with at least `least`, in the order of their templates and starts, from a text's (template, diagonal, positions in the template)."""
+    by: dict[int, list[tuple[int, list[int]]]] = {}
+    for d in diagonals:
+        by.setdefault(d["template"], []).append((d["diagonal"], d["ats"]))
+    out = []
+    for t, ds in sorted(by.items()):
+        ds.sort(key=lambda x: x[0])
+        groups: list[list] = []
+        for d in ds:  # neighbours: a chain never steps further than shift at once, forwards, or than the template is long, backwards
+            if groups and d[0] - groups[-1][-1][0] <= max(shift, sizes[t]):
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            if len({a for _, ats in g for a in ats}) >= least * sizes[t]:
+                out += [(t, a, b, c) for c, a, b in chains([(d + x, x) for d, ats in g for x in ats], sizes[t], shift, least, k)]
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, k: int = K, least: float = 0.6, shift: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, places (array of (label, start) of exact templates, in order), spans (array of (label, start, end,
-    coverage) of the others at `least` coverage), with words counted from 0.
+    coverage) of the others at `least` coverage), best: the highest coverage of such a template on one diagonal or by a verified span; words are counted from 0.
 
     Null text: empty. Repeated rows and equal or null ids are documents of their own: votes are grouped by a row number given at the scan, and the text is read once.
-    A document's votes, at most one per word and template position, meet in one row. An empty table gives an empty result.
+    A document's votes, at most one per word and template position, meet in one row. Words repeated over and over can't make up a notice: a template position counts once in a span.
+    Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    ship(spark)
     table = template_table(spark, templates, k)
     known = [r[0] for r in table.select("h").distinct().collect()]  # of the templates, not of the corpus
     w = F.col("w")
@@ -88,26 +146,26 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, k
     for j in range(k):
         same = same & (F.col(f"v{j}") == F.col(f"g{j}"))
     table = F.broadcast(table) if len(known) <= LISTED else table
-    joined = hits.join(table.withColumnRenamed("h", "t_h"), same, "left").select("row", "id", "n_words", "template", "at", "grams", "exact", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
-    diagonals = joined.groupBy("row", "id", "n_words", "template", "grams", "exact", "diagonal").agg(F.count("at").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    entry = F.struct("template", "diagonal", "votes", "grams", "exact", "first", "last")
+    joined = hits.join(table.withColumnRenamed("h", "t_h"), same, "left").select("row", "id", "n_words", "template", "at", "grams", "exact", (F.col("pos") - F.col("at")).alias("diagonal"))
+    # On one diagonal, each template position votes at most once.
+    diagonals = joined.groupBy("row", "id", "n_words", "template", "grams", "exact", "diagonal").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    entry = F.struct("template", "diagonal", "ats", "grams", "exact")
     per_doc = diagonals.groupBy("row", "id", "n_words").agg(F.sort_array(F.collect_list(F.when(F.col("template").isNotNull(), entry))).alias("d"))
     labels = F.array(*[F.lit(t.label) for t in templates])
-    exact = F.filter("d", lambda d: d["exact"] & (d["votes"] == d["grams"]))
+    exact = F.filter("d", lambda d: d["exact"] & (F.size(d["ats"]) == d["grams"]))
     places = F.transform(exact, lambda d: F.struct(F.get(labels, d["template"]).alias("label"), d["diagonal"].cast("bigint").alias("start")))
-    # Diagonals come sorted by template and diagonal; one within `shift` of the one before joins its span.
     loose = F.filter("d", lambda d: ~d["exact"])
-    kind = "array<struct<template:int,diagonal:int,votes:bigint,grams:int,first:int,last:int>>"
-
-    def merge(acc: Column, d: Column) -> Column:
-        top = F.try_element_at(acc, F.lit(-1))
-        own = F.struct(d["template"].alias("template"), d["diagonal"].alias("diagonal"), d["votes"].alias("votes"), d["grams"].alias("grams"), d["first"].alias("first"), d["last"].alias("last"))
-        near = F.coalesce((top["template"] == d["template"]) & (d["diagonal"] - top["diagonal"] <= shift), F.lit(False))
-        both = F.struct(d["template"].alias("template"), d["diagonal"].alias("diagonal"), (top["votes"] + d["votes"]).alias("votes"), d["grams"].alias("grams"), F.least(top["first"], d["first"]).alias("first"), F.greatest(top["last"], d["last"]).alias("last"))
-        return F.when(near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(own)))
-
-    merged = F.aggregate(loose, F.expr(f"cast(array() as {kind})"), merge)
-    coverage = lambda m: F.least(F.lit(1.0), m["votes"] / m["grams"])
-    spans = F.transform(F.filter(merged, lambda m: coverage(m) >= least), lambda m: F.struct(F.get(labels, m["template"]).alias("label"), m["first"].cast("bigint").alias("start"), (m["last"] + k).cast("bigint").alias("end"), coverage(m).alias("coverage")))
-    best = F.coalesce(F.array_max(F.transform(merged, coverage)), F.lit(0.0))
-    return per_doc.select("id", "n_words", places.alias("places"), spans.alias("spans"), best.alias("best"))
+    sizes = [len(t.text.split()) - k + 1 for t in templates]
+
+    @F.pandas_udf(SPANS)
+    def spans_of(found: pd.Series) -> pd.Series:
+        return pd.Series([[] if f is None else [dict(zip(("template", "start", "end", "coverage"), s, strict=True)) for s in verified(f, sizes, least, shift, k)] for f in found], dtype=object)
+
+    # Only where all votes of a text would be enough for the shortest template that has any.
+    enough = F.aggregate(loose, F.lit(0), lambda n, d: n + F.size(d["ats"])) >= least * F.array_min(F.transform(loose, lambda d: d["grams"]))
+    few = F.transform(loose, lambda d: F.struct(d["template"].alias("template"), d["diagonal"].alias("diagonal"), d["ats"].alias("ats")))
+    out = per_doc.withColumn("s", spans_of(F.when(enough, few)))
+    on_one = F.coalesce(F.array_max(F.transform(loose, lambda d: F.size(d["ats"]) / d["grams"])), F.lit(0.0))
+    best = F.greatest(on_one, F.coalesce(F.array_max(F.transform("s", lambda x: x["coverage"])), F.lit(0.0)))
+    spans = F.transform("s", lambda x: F.struct(F.get(labels, x["template"]).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["coverage"].alias("coverage")))
+    return out.select("id", "n_words", places.alias("places"), spans.alias("spans"), best.alias("best"))
