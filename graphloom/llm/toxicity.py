@@ -13,6 +13,7 @@ means the same at every size. Every document is scored, over its whole text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, ship
+from graphloom.llm.common import materialize, ship, unused
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Scripts written without spaces between words: Thai to Tibetan, Myanmar, Khmer, Tai, Kana, Han, Yi, Javanese.
@@ -118,6 +119,11 @@ class ChainModel:
     chain: list[list[int]] = field(default_factory=list)
     bias: list[int] = field(default_factory=list)
 
+    def digest(self) -> str:
+        """Equal for equal models only."""
+        parts = (self.categories, [sorted(w.items()) for w in self.words], self.chain, self.bias)
+        return hashlib.sha256(repr(parts).encode()).hexdigest()
+
     def score(self, sums: np.ndarray) -> np.ndarray:
         """Probabilities (rows, categories) from the sums of word weights (rows, categories)."""
         p = np.zeros(sums.shape)
@@ -168,10 +174,15 @@ def fit_chain(rows: list[tuple[list[int], list[int]]], categories: tuple[str, ..
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = 3000, features: int = 800, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
-    """Fit a chain on labelled documents; labels has id_col and a 0/1 column per category. Labels with nulls and labels without a document are left out."""
+    """Fit a chain on labelled documents; labels has id_col and a 0/1 column per category. Labels with nulls and labels without a document are left out.
+
+    An id with several labels has a category if one of them says so; of documents that share an id, the one whose text has the smallest hash is read. So each picked id is one row of
+    the sample, however often it repeats.
+    """
     spark = docs.sparkSession
     ship(spark)
     clean = labels.select(F.col(id_col).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
+    clean = materialize(clean.groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))]), "labels")
     last = f"y{len(categories) - 1}"
     # Bounded by per_class for each value of the last category.
     picked = [r for v in (0, 1) for r in clean.where(F.col(last) == v).orderBy(F.xxhash64("id"), *clean.columns).limit(per_class).collect()]
@@ -190,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "f": [text_features(t) for t in pdf["text"]], **{c: pdf[c] for c in marks}})
 
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    text = F.struct(F.xxhash64("text").alias("h"), "text")
+    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy(*clean.columns).agg(F.min(text).alias("t")).select(*clean.columns, "t.text")
     kind = clean.schema["id"].dataType.simpleString()
     featured = materialize(few.mapInPandas(run, f"id {kind}, f array<bigint>, " + ", ".join(f"{c} int" for c in marks)), "features")
     # Whole numbers per value of the last category, weighted afterwards: the sums don't depend on their order.
@@ -215,10 +227,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
 def score(docs: DataFrame, model: ChainModel, text_col: str = "text", prefix: str = "p_", threshold: float = 0.5, flag: str = "is_toxic") -> DataFrame:
     """docs with a probability per category and the decision on the last one. Null or empty text: the bias alone decides.
 
-    Columns of docs stay as they are; new names that clash replace none: the clash is an error of Spark's, choose another prefix or flag.
+    Columns of docs stay as they are: a new name that one of them has is refused with a ValueError; choose another prefix or flag then. Repeated rows are scored each. An empty table
+    gives an empty result.
     """
     ship(docs.sparkSession)
-    known, k, key = {f for w in model.words for f in w}, len(model.categories), f"{id(model)}-{sum(model.bias)}"
+    new = [*[prefix + c for c in model.categories], flag]
+    if clash := sorted({c.lower() for c in new} & {c.lower() for c in docs.columns}):
+        raise ValueError(f"documents have columns of these names already: {clash}")
+    known, k, key = {f for w in model.words for f in w}, len(model.categories), model.digest()
     tables = [{f: w.get(f, 0) for f in known} for w in model.words]
 
     def run(texts):
@@ -251,10 +267,10 @@ def score(docs: DataFrame, model: ChainModel, text_col: str = "text", prefix: st
         return run(texts)
 
     udf = F.pandas_udf(typed, ", ".join(f"c{i} double" for i in range(k)))
-    out = docs.withColumn("_chain", udf(F.col(text_col)))
-    for i, c in enumerate(model.categories):
-        out = out.withColumn(prefix + c, F.col(f"_chain.c{i}"))
-    return out.withColumn(flag, F.col(f"_chain.c{k - 1}") >= threshold).drop("_chain")
+    held = unused([*docs.columns, *new], "chain")
+    out = docs.withColumn(held, udf(F.col(text_col)))
+    p = [F.col(f"{held}.c{i}") for i in range(k)]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[x.alias(n) for x, n in zip(p, new, strict=False)], (p[-1] >= threshold).alias(flag))
 
 
 def with_low_quality(labels: DataFrame) -> DataFrame:

@@ -48,3 +48,24 @@ def test_one_row_of_each_group(spark):
     got = corpus_pipeline.one_per_group(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got if r.text not in (d, near)) == sorted([(7, a), (7, b), (3, c)])
     assert len(got) == 4
+
+
+def test_clashing_names_and_empty_tables(spark, tmp_path):
+    """Extra columns come through every stage as they were, whatever their names; no documents give no sequences."""
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, copy string, _copy string, _fp string, _h string, _g string, nth string, size string, is_toxic string, _toxic string, _chain string, _source string"
+    names = [c.split()[0] for c in kind.split(", ")][5:]
+    rows = [(i, f"text number {i} with words of its own {i * 7} and {i * 13}", "en", f"s{i % 2}", 1, *[f"{n}-{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame([*rows, (5, None, None, None, None, *[None] * len(names)), (None, rows[0][1], *rows[0][2:])], kind)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(f(spark, kept, str(tmp_path)).collect(), docs.schema)
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            if r.doc_id is not None and r.text is not None:
+                assert tuple(r) == rows[r.doc_id]
+    assert {r.doc_id for r in kept.collect()} <= set(range(12)) and kept.count() >= 10
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path)).where("piece = 0").count() == kept.count()
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import toxicity
 
@@ -86,3 +87,65 @@ def test_unspaced_texts(spark):
     labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(160)], "doc_id bigint, low_quality int, toxic int")
     got = {r.doc_id: r.is_toxic for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     assert all(got[i] == (i % 4 == 0) for i in range(160, 240))
+
+
+def plain_score(model, text):
+    """The chain in plain Python: distinct features of the whole text, categories one after the other."""
+    import math
+
+    seen = {f for w in (text or "").split() for f in toxicity.word_features(w)}
+    p = []
+    for words, chain, bias in zip(model.words, model.chain, model.bias, strict=True):
+        z = bias + sum(words.get(f, 0) for f in seen) + sum(c * x for c, x in zip(chain, p, strict=True))
+        p.append(round(1 / (1 + math.exp(-max(-30, min(30, z / toxicity.UNIT)))), 6))
+    return p
+
+
+def test_query_against_plain_chain(spark):
+    from graphloom.llm.queries import op6_toxicity
+
+    at = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    model = toxicity.train(docs, toxicity.with_low_quality(spark.read.parquet(f"{at}/labels.parquet")))
+    got = {r.doc_id: r for r in op6_toxicity(spark, at).collect()}
+    for d in docs.collect():
+        low, bad = plain_score(model, d.text)
+        r = got.pop(d.doc_id)
+        assert abs(r.p_low_quality - low) < 2e-6 and abs(r.p_toxic - bad) < 2e-6 and r.is_toxic == (r.p_toxic >= 0.5)
+    assert not got
+
+
+def test_names_that_clash(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a b", "mine", "too")], "doc_id bigint, text string, _chain string, chain string")
+    model = toxicity.fit_chain([], ("low_quality", "toxic"))
+    got = toxicity.score(docs, model).collect()[0]
+    assert (got["_chain"], got["chain"], got["is_toxic"]) == ("mine", "too", False)
+    for name in ("is_toxic", "P_toxic"):
+        with pytest.raises(ValueError):
+            toxicity.score(docs.withColumn(name, F.lit("text")), model)
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark, monkeypatch):
+    rows = [(1, "bad words"), (1, "bad words"), *[(1, f"text {i}") for i in range(50)], (2, "fine")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (1, 0, 1), (2, 0, 0)], "doc_id bigint, low_quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, *a, **k: seen.append(rows))
+    toxicity.train(docs, labels)
+    assert sorted(y for _, y in seen[0]) == [[0, 0], [0, 1]]
+
+
+def test_two_models_in_one_worker(spark):
+    """Weights are kept in a worker by what they are, not by where they were."""
+    docs = spark.createDataFrame([(1, "good"), (2, "evil")], "doc_id bigint, text string").coalesce(1)
+    for word, other in (("good", "evil"), ("evil", "good")):
+        model = toxicity.ChainModel(("toxic",), [{toxicity._hash(f"={word}"): 5 * toxicity.UNIT}], [[]], [-2 * toxicity.UNIT])
+        got = {r.text: r.is_toxic for r in toxicity.score(docs, model).collect()}
+        assert got == {word: True, other: False}
+
+
+def test_no_word_is_cut():
+    a, b = (set(toxicity.word_features("q" * 64 + w)) for w in ("evil", "good"))
+    assert a != b and toxicity._hash("=evil") in a - b

@@ -63,19 +63,33 @@ def test_flat_graph_of_nothing(spark):
     assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(1, 0, 1), (2, 0, 2)]
 
 
-@pytest.mark.parametrize("block,shard,page", [(2048, 4096, 512), (4, 70, 8)])
-def test_top_k(spark, block, shard, page):
-    rows = vectors()
+def large(seed):
+    """Vectors of mixed size: usual ones, whole numbers beyond what doubles' products hold, near ties among them, and the ends of what a float is."""
+    rng = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], 0, "s") for i in range(120)]
+    for i in range(0, 120, 3):
+        rows[i] = (i, [float(np.float32(x)) for x in rng.integers(-(10**9), 10**9, 6)], 0, "s")
+    rows[0] = (0, [5000.0, 1.0], 0, "s")
+    rows[50] = (50, [float(np.float32(3e38))] * 6, 0, "s")
+    rows[51] = (51, [float(np.float32(-3e38))] * 6, 0, "s")
+    for i in range(60, 66):
+        rows[i] = (i, [2.0**30, 2.0**30, 1.0 + i / 256, 0.0, 0.0, 0.0], 0, "s")
+    return rows
+
+
+@pytest.mark.parametrize("block,shard,page,tasks,made", [(2048, 4096, 512, 64, vectors), (4, 70, 8, 2, vectors), (8, 30, 4, 1, lambda: large(1)), (100, 4096, 64, 64, lambda: large(2))])
+def test_top_k(spark, block, shard, page, tasks, made):
+    rows = made()
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, shard string")
     got = {}
-    for r in mtree.top_k(d, F.col("id") % 50 == 0, block=block, shard_rows=shard, page=page).orderBy("query_id", "rank").collect():
+    for r in mtree.top_k(d, F.col("id") % 50 == 0, block=block, shard_rows=shard, page=page, trees_a_task=tasks).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     ok = {i: [int(np.floor(256 * float(x))) for x in v] for i, v, *_ in rows if v is not None and None not in v and np.isfinite(v).all()}
     want = {}
     for q in ok:
         if q % 50 == 0:
             scores = sorted((-sum(a * b for a, b in zip(ok[q], ok[i], strict=False)), i) for i in ok if i != q)
-            want[q] = [(i, -s) for s, i in scores[:5]]
+            want[q] = [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in scores[:5]]
     assert got == want
 
 
@@ -105,3 +119,20 @@ def test_tree_passes_over_pages():
     want = sorted(((-int(s[i]), i) for i in range(4000) if i != 5))[:5]
     assert sorted((-a, -b) for a, b in best) == want
     assert sum(seen) < 2500
+
+
+def test_trees_of_huge_doubles():
+    """Components up to the end of doubles: squares would overflow, so points are scaled for the tree, and scores are Python's integers."""
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.normal(size=(300, 4)) * 10.0 ** rng.integers(0, 300, size=(300, 1)))
+    t = mtree.MTree(np.arange(300), x, page=8)
+    for q in (*x[:20], np.array([1.0, -2.0, 3.0, 0.0])):
+        whole = [sum(int(a) * int(b) for a, b in zip(q, p, strict=True)) for p in x]
+        want = sorted((-s, i) for i, s in enumerate(whole) if i != 7)[:5]
+        assert sorted((-a, -b) for a, b in t.search(q, 7, 5, [])) == want
+
+
+def test_order_of_scores_beyond_a_bigint():
+    scores = [-(10**40), -(10**39) - 1, -(2**63) - 1, -(2**63), 0, 2**63 - 1, 2**63, 10**39, 10**40]
+    keys = [(max(-(2**63), min(2**63 - 1, s)), mtree.beyond(s)) for s in scores]
+    assert keys == sorted(keys)
