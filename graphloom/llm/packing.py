@@ -193,8 +193,10 @@ def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[int, int, i
     return out
 
 
-#: Plans of up to so many rows are broadcast (40 bytes each); a longer plan is joined by shuffle.
+#: Tables of up to so many rows are broadcast (48 bytes each); a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Ranks of a length are looked up by ranges of so many, each of which knows the rows of the plan that reach into it.
+RANGE = 1024
 _PLAN = T.StructType([T.StructField(c, T.LongType(), False) for c in ("p_length", "first_rank", "n", "first_sequence", "p_offset")])
 
 
@@ -202,18 +204,24 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset[, ids].
 
     Every row of docs is packed: repeated rows and equal or null ids are documents of their own. Null and empty texts are one piece of one id.
-    Very long texts become full pieces and a rest. Ties in length are placed by the order of the scan. An empty table gives an empty result.
+    Very long texts become full pieces and a rest. Ties in length are placed by the order of the scan. Other columns are not read. An empty table gives an empty result.
+
+    The driver holds a count per length and the plan. Counts per length and task are joined by shuffle, never broadcast: (length, task) deals the pieces of a common length to all tasks.
     """
     spark = docs.sparkSession
     got = materialize(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), "pieces")
     per_task = materialize(got.groupBy("length", "task").agg(F.count("*").alias("here")), "lengths")
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("here").alias("n")).collect()}  # at most `capacity` rows
     rows = plan(counts, capacity)
-    table = spark.createDataFrame(rows, _PLAN)
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    before = materialize(per_task.select("length", "task", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before")), "before")
-    ranked = got.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
-    table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
-    placed = ranked.join(table, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
+    before = per_task.select("length", "task", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"))
+    rank = F.col("before") + F.col("nth")
+    ranked = got.join(before.hint("merge"), ["length", "task"]).withColumn("rank", rank).withColumn("range", F.floor(rank / RANGE))
+    spans = F.sequence(F.floor(F.col("first_rank") / RANGE), F.floor((F.col("first_rank") + F.col("n") - 1) / RANGE))
+    table = spark.createDataFrame(rows, _PLAN).withColumn("p_range", F.explode(spans))
+    small = 2 * len(rows) + sum(counts.values()) // RANGE <= BROADCAST_ROWS
+    table = F.broadcast(table) if small else table.hint("merge")
+    on = (F.col("length") == F.col("p_length")) & (F.col("range") == F.col("p_range"))
+    placed = ranked.join(table, on & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
     cols = ["id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), F.col("p_offset").alias("offset")]
     return placed.select(*cols, *(["ids"] if with_ids else []))

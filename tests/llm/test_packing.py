@@ -50,7 +50,10 @@ def test_tokenizer_by_word_equals_whole_text():
     assert w.encode(ODD) == want == w.encode(ODD)
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("rows_broadcast,rank_range", [(200_000, 1024), (0, 2)])
+def test_pack(spark, monkeypatch, rows_broadcast, rank_range):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", rows_broadcast)
+    monkeypatch.setattr(packing, "RANGE", rank_range)
     texts = [*ODD, None, "the same", "the same", "long " * 9000]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1), (3, "again", 1), (3, "again", 1)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string, length int"), tokenizer_path()).collect()
@@ -67,3 +70,22 @@ def test_pack(spark):
         assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 4096
     assert len(by) == best_fit([r.length for r in got], 4096)
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, text string"), tokenizer_path()).count() == 0
+
+
+def test_query_against_plain_python(spark):
+    from graphloom.llm.queries import op9_pack
+
+    tok = packing.WordTokenizer(tokenizer_path()).tok
+    want = Counter()
+    for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect():
+        ids = [*tok.encode(d.text or "", add_special_tokens=False).ids, 1]
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            part = ids[a : a + 4096]
+            want[d.doc_id, k, a, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    got = op9_pack(spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    spots = defaultdict(list)
+    for r in got:
+        spots[r.sequence_id].append((r.offset, r.length))
+    assert all(o == sum(n for _, n in sorted(s)[:i]) for s in spots.values() for i, (o, _) in enumerate(sorted(s)))
+    assert len(spots) == best_fit([r.length for r in got], 4096)
