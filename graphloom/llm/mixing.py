@@ -4,37 +4,49 @@ Of all document rates r(d) in [0, cap] that give every source its target number
 relative entropy, sum r log r - r + 1. Their dual has one multiplier per source, and r(d) = min(cap, exp(lambda * size / mean))
 with the mean size of the source's documents. The multipliers are found by Newton steps kept inside a bracket, each a
 distributed aggregate over the histogram (source, size, documents), which is far smaller than the corpus. Rates are then
-rounded to whole copies from the longest documents down, what one size owes being carried to the next smaller
-one, and documents take their copies by rank within (source, size).
+rounded to whole copies: running totals of copies from the longest documents down are rounded, and what a source's words then miss of its target
+is made up by single copies of fitting size. Documents take their copies by rank within (source, size). Sums are of decimals, so reruns agree whatever the order of arrival.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, per_bucket, word_count
+from graphloom.llm.common import materialize, per_bucket, release, word_count
 
 WEIGHTS = (5, 2, 1)
 
 
+#: Sums of doubles depend on their order, sums of these don't.
+EXACT = "decimal(38,9)"
+
+
+def before(df: DataFrame, by: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each of sums, its total over the rows before in the order `by`: running totals within ranges of rows, and one of the ranges' totals (a row per range)."""
+    d = materialize(df.withColumns({f"v_{n}": c for n, c in sums.items()}).repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ordered")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy("part").agg(*[F.sum(f"v_{n}").alias(f"t_{n}") for n in sums])
+    per = per.select("part", *[F.coalesce(F.sum(f"t_{n}").over(earlier), F.lit(0)).alias(f"b_{n}") for n in sums])
+    out = d.join(F.broadcast(per), "part").withColumns({n: F.col(f"b_{n}") + F.coalesce(F.sum(f"v_{n}").over(inside), F.lit(0)) for n in sums})
+    return out.select(*df.columns, *sums)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = 3) -> DataFrame:
     """(source, source_size, documents, target) of a histogram (source, size, n): sources by code point, null last, weigh `weights` in turn and
-    share `share` of all words; a target stops at cap times its source's words, the excess being shared again by weight.
-    The windows run over one row per source."""
+    share `share` of all words; a target stops at cap times its source's words, the excess being shared again by weight. There may be as many sources as there are sites."""
     total = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("documents"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
-    s = total.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), nth.cast("int")))
-    by_room = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    before, after = by_room.rowsBetween(Window.unboundedPreceding, -1), by_room.rowsBetween(0, Window.unboundedFollowing)
+    s = before(total, [F.col("source").asc_nulls_last()], {"nth": F.lit(1)})
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))).drop("nth")
     most = F.col("source_size") * F.lit(cap)
-    s = s.withColumn("left", F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum(most).over(before), F.lit(0)))
-    s = s.withColumn("level", F.col("left") / F.sum("w").over(after)).withColumn("full", most <= F.col("level") * F.col("w"))
-    # The full ones are a prefix in this order; the level of the rest is that of the first that isn't full.
-    s = s.withColumn("level", F.min(F.when(~F.col("full"), F.struct(F.col("source_size") / F.col("w"), "level"))).over(everything)["level"])
-    target = F.when(F.col("full"), most.cast("double")).otherwise(F.col("level") * F.col("w"))
+    room = F.col("source_size") / F.col("w")
+    s = before(s, [room, F.col("source").asc_nulls_last()], {"most_before": most, "w_before": F.col("w")})
+    words, w = s.agg(F.sum("source_size"), F.sum("w")).first()
+    s = s.withColumn("level", (F.lit(share) * F.lit(words or 0) - F.col("most_before")) / (F.lit(w or 0) - F.col("w_before"))).withColumn("full", most <= F.col("level") * F.col("w"))
+    # The full ones come first in this order; the level of the rest is that of the first that isn't full.
+    first = s.where("not full").agg(F.min(F.struct(room.alias("room"), F.col("source").isNull().alias("none"), "source", "level"))).first()[0]
+    target = F.when(F.col("full"), most.cast("double")).otherwise(F.lit(first["level"] if first else None).cast("double") * F.col("w"))
     return s.select("source", "source_size", "documents", target.cast("double").alias("target"))
 
 
@@ -51,7 +63,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: int = 3, tolerance: f
         x = F.col("size") / F.col("mean")
         rate = F.least(F.lit(float(cap)), F.exp(F.col("lam") * x))
         words = F.col("n") * F.col("size")
-        sums = sizes.join(state.where("not done"), F.col("h_source").eqNullSafe(F.col("source"))).groupBy("source").agg(F.sum(words * rate).alias("f"), F.sum(F.when(rate < cap, words * rate * x).otherwise(0.0)).alias("slope"))
+        sums = sizes.join(state.where("not done"), F.col("h_source").eqNullSafe(F.col("source"))).groupBy("source").agg(F.sum((words * rate).cast(EXACT)).cast("double").alias("f"), F.sum(F.when(rate < cap, words * rate * x).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"))
         sums = sums.select(F.col("source").alias("s_source"), "f", "slope")
         gap = F.coalesce("f", F.lit(0.0)) - F.col("target")
         s = state.join(sums, F.col("s_source").eqNullSafe(F.col("source")), "left").withColumn("gap", gap)
@@ -64,32 +76,38 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: int = 3, tolerance: f
         reach = 2 * F.abs("lam") + 1
         step = F.when(inside, F.greatest(F.least(newton, F.col("lam") + reach), F.col("lam") - reach)).when(F.col("above") & F.col("below"), (F.col("lo") + F.col("hi")) / 2).when(F.col("above"), F.col("lam") - reach).otherwise(F.col("lam") + reach)
         s = s.withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(step))
-        state = materialize(s.select(*state.columns), "dual")
+        old, state = state, materialize(s.select(*state.columns), "dual")
+        release(old)
         if not state.where("not done").head(1):
             break
     return state.select("source", "lam", "mean")
 
 
-def planned_copies(sizes: DataFrame, duals: DataFrame, targets: DataFrame, cap: int = 3) -> DataFrame:
-    """(source, size, copies): copies is how many copies all documents of that source and size get together.
+def planned_copies(sizes: DataFrame, duals: DataFrame, targets: DataFrame, cap: int = 3, corrections: int = 4) -> DataFrame:
+    """(source, size, copies): copies is how many copies all documents of that source and size get together, within 0 and cap * n.
 
-    Per source, from the longest size down, copies = round((rate * n * size + owed) / size) within 0 and cap * n, and the rest is owed to the
-    next size; the total then misses the target by about half the smallest size. A source's list has one entry per distinct size.
+    Per source, from the longest size down, the running total of rate * n is rounded, and a size gets what that adds. Words then miss the target by at most half the longest document;
+    each of `corrections` times, one copy of the size nearest to what is missing is added or taken away, if that brings the total nearer. Documents without words keep one copy each.
     """
     x = F.col("size") / F.col("mean")
-    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("lam") * x)))
-    h = sizes.join(duals, F.col("h_source").eqNullSafe(F.col("source"))).select("source", "size", "n", rate.alias("rate"))
-    lists = h.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("bins"))
-
-    def step(acc, b):
-        size = b["size"].cast("double")
-        want = b["rate"] * b["n"] * size + acc["owed"]
-        k = F.when(b["size"] == 0, b["n"].cast("double")).otherwise(F.greatest(F.lit(0.0), F.least((cap * b["n"]).cast("double"), F.floor(want / size + 0.5).cast("double"))))
-        owed = F.when(b["size"] == 0, acc["owed"]).otherwise(want - k * size)
-        return F.struct(owed.alias("owed"), F.concat(acc["out"], F.array(F.struct(b["size"].alias("size"), k.cast("bigint").alias("copies")))).alias("out"))
-
-    zero = F.struct(F.lit(0.0).alias("owed"), F.expr("cast(array() as array<struct<size:bigint,copies:bigint>>)").alias("out"))
-    return lists.select("source", F.explode(F.aggregate("bins", zero, step)["out"]).alias("b")).select("source", "b.size", "b.copies")
+    rate = F.least(F.lit(float(cap)), F.exp(F.col("lam") * x))
+    h = sizes.join(duals, F.col("h_source").eqNullSafe(F.col("source"))).select("source", "size", "n", (rate * F.col("n")).cast(EXACT).alias("want"))
+    upto = F.sum(F.when(F.col("size") > 0, F.col("want")).otherwise(0)).over(Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+    whole = lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)"))
+    copies = F.when(F.col("size") == 0, F.col("n")).otherwise(whole(F.col("upto")) - whole(F.col("upto") - F.col("want"))).cast("bigint")
+    plan = materialize(h.withColumn("upto", upto).select("source", "size", "n", copies.alias("copies")), "copies")
+    goal = targets.select(F.col("source").alias("g_source"), "target")
+    for _ in range(corrections):
+        taken = plan.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+        gap = taken.join(goal, F.col("source").eqNullSafe(F.col("g_source"))).select("g_source", (F.col("target") - F.col("taken")).alias("gap"))
+        sized = plan.join(gap, F.col("source").eqNullSafe(F.col("g_source"))).where((F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < cap * F.col("n")).otherwise(F.col("copies") > 0))
+        miss = F.abs(F.abs("gap") - F.col("size"))
+        pick = sized.where(miss < F.abs("gap")).groupBy("g_source", "gap").agg(F.min(F.struct(miss.alias("miss"), "size"))["size"].alias("g_size"))
+        pick = pick.select("g_source", "g_size", F.signum("gap").cast("bigint").alias("one"))
+        new = plan.join(pick, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")), "left")
+        old, plan = plan, materialize(new.select("source", "size", "n", (F.col("copies") + F.coalesce("one", F.lit(0))).alias("copies")), "copies")
+        release(old)
+    return plan.select("source", "size", "copies")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +129,7 @@ def _mix(base: DataFrame, weights, share, cap) -> DataFrame:
     h = hist.select(F.col("source").alias("h_source"), "size", "n")
     targets = materialize(source_targets(hist, weights, share, cap), "targets")
     duals = multipliers(h, targets, cap)
-    plan = materialize(planned_copies(h, duals, targets, cap), "copies")
+    plan = planned_copies(h, duals, targets, cap)
     # Rank within (source, size) in two steps: documents of a bucket, then what the buckets before it hold.
     buckets = per_bucket(hist.agg(F.sum("n")).first()[0] or 0, 2_000)
     # A key without nulls, so that the window and the join below want the same dealing and wide rows are shuffled once.

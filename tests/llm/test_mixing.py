@@ -61,3 +61,58 @@ def test_whole_numbers_and_empty(spark):
     assert [(r.size, r.copies) for r in one] == [(0, 1)]
     three = run(spark, [(1, "a b c", "only", "x")])
     assert [(r.copies, r.target) for r in three] == [(1, 3.0)]
+
+
+def test_dual_and_copies_against_plain_python(spark):
+    """Multipliers by bisection, one source at a time; copies sum up near the target even where one document is far longer than all others."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    hist = [(s, n, rng.randrange(1, 40)) for s in ("a", "b", None, "c") for n in sorted({rng.randrange(1, 300) for _ in range(60)})] + [("a", 50_000, 1), ("b", 0, 5), ("d", 7, 3)]
+    d = spark.createDataFrame(hist, "source string, size bigint, n bigint")
+    h = d.withColumnRenamed("source", "h_source")
+    goal = mixing.source_targets(d)
+    duals = mixing.multipliers(h, goal)
+    copies = {(r.source, r.size): r.copies for r in mixing.planned_copies(h, duals, goal).collect()}
+    lam = {r.source: r.lam for r in duals.collect()}
+    for r in goal.collect():
+        mine = [(size, n) for s, size, n in hist if s == r.source]
+        mean = r.source_size / r.documents
+        words = lambda x, mine=mine, mean=mean: sum(n * size * min(3.0, math.exp(min(700, x * size / mean))) for size, n in mine)
+        assert all(0 <= copies[r.source, size] <= 3 * n for size, n in mine)
+        if r.target < 3 * r.source_size:
+            low, high = -200.0, 200.0
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if words(mid) < r.target else (low, mid)
+            assert abs(lam[r.source] - low) < 1e-5 * (1 + abs(low)) or abs(words(lam[r.source]) - r.target) < 1e-6 * r.target
+        taken = sum(copies[r.source, size] * size for size, _ in mine)
+        assert abs(taken - r.target) <= max(10, min(s for s, _ in mine if s))
+    assert copies["b", 0] == 5
+
+
+def test_many_sources(spark):
+    """More sources than ranges of the sort: ranks and running sums agree with plain Python."""
+    rows = [(f"site{i:05d}" if i else None, 1 + i % 97, 1) for i in range(3000)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size bigint, n bigint").repartition(7)).collect()}
+    want = targets({s: n for s, n, _ in rows})
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 * want[s] for s in want)
+
+
+def test_query_against_plain_python(spark):
+    from graphloom.llm.queries import op7_mix
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()
+    count = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) for d in docs}
+    source, sizes = {d.doc_id: d.source for d in docs}, {}
+    for d in docs:
+        sizes[d.source] = sizes.get(d.source, 0) + count[d.doc_id]
+    want, taken = targets(sizes), {}
+    for r in op7_mix(spark, "/root/testdata/sf0.001").collect():
+        s = source[r.doc_id]
+        assert r.size == count[r.doc_id] and r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * want[s]
+        assert r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] = taken.get(s, 0) + r.taken
+    # A source of a few documents can't come nearer than its documents' sizes allow.
+    assert all(abs(taken[s] - want[s]) <= 0.01 * want[s] + max(n for d, n in count.items() if source[d] == s) / 2 for s in want)
