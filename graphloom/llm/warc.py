@@ -68,13 +68,12 @@ def parse(member: bytes) -> tuple:
     return number(h["WARC-Record-ID"]), h["WARC-Target-URI"], kind, refers, sha, size, payload if kind == "response" else None
 
 
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, key, refers_to): the pages whose payload (of least_bytes or more) a page with a larger id has too. Payloads are told apart by SHA-256;
-    only ids and keys are shuffled."""
+def repeated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(top_key, top_id): a row per payload (of least_bytes or more) that several pages have, with their largest id. Payloads are told apart by SHA-256; only those digests and ids are shuffled,
+    pre-aggregated."""
     keyed = pages.where(F.octet_length("body") >= least_bytes).select("page_id", "key")
-    top = materialize(keyed.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null"), "repeated")
-    twice = keyed.join(top.select("key", "refers_to"), "key").where("page_id is null or page_id != refers_to")
-    return materialize(twice.select("page_id", "key", "refers_to").distinct(), "revisits")
+    top = keyed.groupBy("key").agg(F.max("page_id").alias("top_id"), F.count("*").alias("n")).where("n > 1 and top_id is not null")
+    return materialize(top.select(F.col("key").alias("top_key"), "top_id"), "repeated")
 
 
 def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 1 << 30, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -82,13 +81,16 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 1 << 30, id_
 
     The payload is the html in UTF-8; null: empty. Of rows with equal payloads of least_bytes or more, those with the largest id are responses, the others revisits of it;
     null ids revisit any id. Repeated rows are records each. Other columns are not read. Empty table: an empty index.
+
+    The index has the URL as it was, null too; in a record's header it is percent-encoded. Pages look up their payload among the repeated ones: while those (44 bytes each) are within
+    Spark's limit for a broadcast, no body is shuffled; beyond it bodies are, once, and a payload that very many pages have is split by adaptive execution.
     """
     ship(pages.sparkSession)
     folder = new_path(pages.sparkSession, "warc")
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("key", F.sha2("body", 256))
-    twice = revisits(rows, least_bytes).select(F.col("page_id").alias("r_id"), F.col("key").alias("r_key"), "refers_to")
-    rows = rows.join(twice, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("key") == F.col("r_key")), "left").select("page_id", "url", "body", "refers_to")
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("key", F.unhex(F.sha2("body", 256)))
+    revisit = F.col("page_id").isNull() | (F.col("page_id") != F.col("top_id"))
+    rows = rows.join(repeated(rows, least_bytes), F.col("key") == F.col("top_key"), "left").select("page_id", "url", "body", F.when(revisit, F.col("top_id")).alias("refers_to"))
 
     def run(batches):
         store, base = fs.FileSystem.from_uri(folder)
@@ -117,12 +119,16 @@ def write(pages: DataFrame, least_bytes: int = 0, file_bytes: int = 1 << 30, id_
 
 
 def read(selected: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, chunk: int = 1 << 25, payloads: bool = True) -> DataFrame:
-    """The records (RECORD) of the selected index rows. Rows are dealt by file and `chunk` bytes of it and sorted; ranges at most `gap` apart are read at once, up to `most` bytes.
-    payload is null for revisits, and for all if not payloads."""
-    ship(selected.sparkSession)
+    """The records (RECORD) of the selected index rows; url is the record's, percent-encoded. Rows are dealt by file and ranges of it, into as many tasks as hold about `chunk` bytes of archive each (the
+    index rows themselves say nothing of that), and sorted; records at most `gap` apart are read at once, up to `most` bytes. payload is null for revisits, and for all if not payloads.
+    No selected row: an empty result."""
+    spark = selected.sparkSession
+    ship(spark)
     names = [c.split()[0] for c in RECORD.split(", ")]
-    at = (F.col("offset") / chunk).cast("int")
-    dealt = selected.select("file", "offset", "length").repartition("file", at).sortWithinPartitions("file", "offset")
+    rows, size = selected.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, -(-size // chunk), min(rows, 2 * spark.sparkContext.defaultParallelism))
+    at = F.floor(F.col("offset") / max(most // 8, -(-size // tasks)))
+    dealt = selected.select("file", "offset", "length").repartition(tasks, "file", at).sortWithinPartitions("file", "offset")
 
     def run(batches):
         opened, handle = None, None

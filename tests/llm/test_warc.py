@@ -40,3 +40,32 @@ def test_members_are_gzip():
     z, _ = warc.record(3, "http://x/y z", b"abc", None, False)
     text = gzip.decompress(z)
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and text.endswith(b"abc\r\n\r\n") and b"WARC-Target-URI: http://x/y%20z\r\n" in text
+
+
+def test_tasks_by_the_size_of_archives(spark):
+    """Many small records are read in several tasks, whatever their index weighs."""
+    pages = spark.range(400).selectExpr("id page_id", "concat('http://x/', id) url", "repeat(sha2(cast(id as string), 256), 2000) html").repartition(3)
+    index = warc.write(pages)
+    got = warc.read(index, most=1 << 16)
+    assert len(index.inputFiles()) <= 3 and got.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    parts = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 3 and sum(r["count"] for r in parts) == 400
+
+
+def test_bodies_shuffled_give_the_same(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_round_trip(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_query_against_plain_python(spark):
+    from graphloom.llm.queries import op8_warc
+
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    top = {}
+    for i, b in pages.items():
+        top[b] = max(i, top.get(b, i))
+    want = sorted((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if top[b] == i else "revisit", None if top[b] == i else top[b]) for i, b in pages.items())
+    assert sorted(map(tuple, op8_warc(spark, "/root/testdata/sf0.001").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())) == want
