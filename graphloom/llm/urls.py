@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ascii_lower
+from graphloom.llm.common import ascii_lower, materialize
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -164,8 +164,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     u = u.withColumn("rule", rule).withColumn("by_rule", verdict)
     u = u.withColumn("top", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
     u = u.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
-    # One pass over all labelled URLs, pre-aggregated per last two labels; the last label's counts follow from those.
+    # One pass over all labelled URLs, pre-aggregated per last two labels and written; the last label's counts follow from those.
     per_domain = u.where("by_rule is not null").groupBy("top", "domain").agg(F.count("*").alias("n"), F.sum(F.when(F.col("by_rule") == BLOCK, 1).otherwise(0)).alias("b"))
+    per_domain = materialize(per_domain, "domains")
     per_top = per_domain.groupBy(F.col("top").alias("s_top")).agg(F.sum("n").alias("top_n"), F.sum("b").alias("top_b"))
     per_domain = per_domain.select(F.col("domain").alias("s_domain"), F.col("n").alias("domain_n"), F.col("b").alias("domain_b"))
     own = F.when(F.col("by_rule") == BLOCK, 1).otherwise(0)
@@ -176,12 +177,18 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
         n, b = F.coalesce(f"{kind}_n", F.lit(0)) - labelled, F.coalesce(f"{kind}_b", F.lit(0)) - own
         return (b + smooth / 2) / (n + smooth)
 
-    u = u.join(per_top, F.col("top") == F.col("s_top"), "left").join(per_domain, F.col("domain") == F.col("s_domain"), "left")
-    u = u.withColumn("top_rate", rate("top")).withColumn("domain_rate", rate("domain"))
-    chosen = u.where("by_rule is not null").orderBy(F.xxhash64("url"), "url", "id").limit(sample).select((F.col("by_rule") == BLOCK).cast("double").alias("y"), *FEATURES).collect()
+    def rated(df: DataFrame) -> DataFrame:
+        """A row per domain meets the rows of df; what exceeds Spark's limit for a broadcast is joined by shuffle, where adaptive execution splits a domain that has very many."""
+        df = df.join(per_top, F.col("top") == F.col("s_top"), "left").join(per_domain, F.col("domain") == F.col("s_domain"), "left")
+        return df.withColumn("top_rate", rate("top")).withColumn("domain_rate", rate("domain"))
+
+    # The sample is taken before the joins: one more pass, over the labelled URLs alone.
+    chosen = u.where("by_rule is not null").orderBy(F.xxhash64("url"), "url", "id").limit(sample)
+    chosen = rated(chosen).select((F.col("by_rule") == BLOCK).cast("double").alias("y"), *FEATURES, "url", "id").collect()
+    chosen = [tuple(r)[:-2] for r in sorted(chosen, key=lambda r: (r["url"], r["id"] is not None, r["id"]))]
     data = np.array([tuple(r) for r in chosen], float).reshape(len(chosen), 1 + len(FEATURES))
     model = fit_trees(data[:, 1:], data[:, 0])
     p = 1 / (1 + F.exp(-model.column(FEATURES)))
-    out = u.withColumn("probability", p)
+    out = rated(u).withColumn("probability", p)
     verdict = F.coalesce("by_rule", F.when(F.col("probability") >= threshold, F.lit(BLOCK)).otherwise(ALLOW))
     return out.select("id", "host", "path", "rule", verdict.alias("verdict"), "probability")

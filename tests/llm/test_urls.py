@@ -56,3 +56,43 @@ def test_trees_learn_and_become_sql(spark):
     d = spark.createDataFrame([tuple(map(float, r)) for r in x[:50]], "a double, b double, c double, d double")
     got = [r[0] for r in d.select(m.column(("a", "b", "c", "d"))).collect()]
     assert np.allclose(got, m.margin(x[:50]))
+
+
+def test_first_split_against_every_split():
+    """A tree's root takes the split with the highest gain of all, tried one by one in plain Python."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n, least, l2 = 40, 3, 1.0
+        x = rng.integers(0, 8, size=(n, 3)).astype(float)
+        g, h = rng.normal(size=n), rng.uniform(0.05, 0.25, size=n)
+        best = None
+        for f in range(3):
+            for t in sorted(set(x[:, f]))[:-1]:
+                left = x[:, f] <= t
+                if min(left.sum(), (~left).sum()) >= least:
+                    gain = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (left, ~left))
+                    if best is None or gain > best[0] + 1e-12:
+                        best = (gain, left)
+        tree = urls._tree(x, g, h, np.arange(n), 1, least, l2)
+        if not isinstance(tree, float):
+            left = x[:, tree[0]] <= tree[1]
+            assert abs(sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (left, ~left)) - best[0]) < 1e-9
+            assert abs(tree[2] + g[left].sum() / (h[left].sum() + l2)) < 1e-12
+        else:
+            assert best is None or best[0] - g.sum() ** 2 / (h.sum() + l2) <= 1e-6
+
+
+def test_query_against_plain_python(spark):
+    """Hosts, paths, rules and ruled verdicts of the registered query; suffix statistics by plain counting; reruns agree."""
+    from graphloom.llm.queries import op4_urls
+
+    at = "/root/testdata/sf0.001"
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{at}/pages.parquet").collect()}
+    got = {r.page_id: r for r in op4_urls(spark, at).collect()}
+    assert got.keys() == pages.keys()
+    for i, url in pages.items():
+        host, path = plain(url)
+        want = rule(host, path)
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, want.text if want else None)
+        assert got[i].verdict == (want.verdict if want else "block" if got[i].probability >= 0.5 else "allow")
+    assert got == {r.page_id: r for r in op4_urls(spark, at).collect()}
