@@ -7,7 +7,7 @@ reading reverses it. Every assistant turn becomes an example: all turns before i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -35,21 +35,20 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Rows with a null conv_id are one conversation. A conversation is one value of the output, so it must fit in 2 GB; its rows meet in one task only after column pruning.
     Other columns are not read. An empty table gives an empty result.
     """
-    role = F.coalesce(F.col(role_col), F.lit(""))
-    head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("order"), head.alias("head"), escape(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
-    rows = rows.select("conv_id", F.struct("order.turn", "order.role", "order.text", "head", "body").alias("t"))
-    lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    lists = lists.withColumn("formatted", F.array_join(F.transform("ts", lambda t: F.concat(t["head"], t["body"], F.lit(END))), ""))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("n"), F.expr("cast(array() as array<struct<turn:int,start:bigint,length:bigint>>)").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        span = F.struct(acc["n"].alias("turn"), start.cast("bigint").alias("start"), F.length(t["body"]).cast("bigint").alias("length"))
-        spans = F.when(t["role"] == assistant, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((start + F.length(t["body"]) + len(END)).cast("bigint").alias("at"), (acc["n"] + 1).alias("n"), spans.alias("spans"))
-
-    return lists.select("conv_id", "formatted", F.aggregate("ts", zero, step)["spans"].alias("spans"))
+    empty = F.lit("")
+    order = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text")).alias("order")
+    head = F.concat(F.lit(START), F.replace(escape(F.col("order.role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+    body = escape(F.col("order.text"))
+    chars = (F.length(head) + F.length(body) + len(END)).cast("bigint")
+    rows = turns.select(F.col(conv_col).alias("conv_id"), order).withColumn("chars", chars)
+    # Places by running sums over the turns in order: the window sorts a conversation's turns (spilling if need be), its one dealing by conv_id serves the lists too, and texts are escaped after it.
+    upto = Window.partitionBy("conv_id").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("order")) - 1).withColumn("upto", F.sum("chars").over(upto))
+    start = F.col("upto") - F.col("chars") + F.length(head)
+    span = F.struct(F.col("n").alias("turn"), start.alias("start"), F.length(body).cast("bigint").alias("length"))
+    rows = rows.select("conv_id", F.struct("n", F.concat(head, body, F.lit(END)).alias("text")).alias("t"), F.when(F.col("order.role") == assistant, span).alias("span"))
+    lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"), F.sort_array(F.collect_list("span")).alias("spans"))
+    return lists.select("conv_id", F.array_join(F.transform("ts", lambda t: t["text"]), "").alias("formatted"), "spans")
 
 
 def expand(formatted: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
