@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import marked, tokens
 from graphloom.graph import PropertyGraph
 
 # The usual constants of BM25.
@@ -50,7 +50,8 @@ def parse(query: str, default: str = "text") -> list[Term]:
 
 @dataclass(frozen=True)
 class IndexQuery:
-    """index names a vertex label ("document") or an edge label; the query's fields are its properties."""
+    """index names a vertex label ("document") or an edge label; the query's fields are its properties. Answered from a mixed index over them: one of the given catalog that is enabled, or one that is
+    built for the query. Of its postings only the query's terms are read."""
 
     graph: PropertyGraph
     index: str
@@ -58,6 +59,7 @@ class IndexQuery:
     most: int | None = None
     start: int = 0
     orders: tuple = ()
+    catalog: object = None
 
     def limit(self, n: int) -> IndexQuery:
         return replace(self, most=n)
@@ -69,71 +71,87 @@ class IndexQuery:
         return replace(self, orders=(*self.orders, (key, order)))
 
     def _base(self) -> tuple[DataFrame, str]:
-        return (self.graph.vertices[self.index], "id") if self.index in self.graph.vertices else (self.graph.edge_frame([self.index]), "eid")
-
-    def _scored(self) -> tuple[DataFrame, str]:
-        base, key = self._base()
+        """Elements with the index's id as `_entry`, and the name of their own."""
+        if self.index in self.graph.vertices:
+            return self.graph.vertices[self.index].withColumn("_entry", F.col("id")), "id"
+        return self.graph.edge_frame([self.index]).withColumn("_entry", F.col("eid").cast("string")), "eid"
+
+    def _index(self, fields: list[str]):
+        from graphloom.operators.index import IndexCatalog
+
+        c = self.catalog
+        if c is not None:
+            for name, i in c.graph.schema.indexes.items():
+                if i.kind == "mixed" and i.status == "ENABLED" and i.label == self.index and set(fields) <= set(i.keys):
+                    return c, name
+        own = IndexCatalog(self.graph.copy())
+        return own.enabled("_query", "mixed", tuple(fields), self.index), "_query"
+
+    def _scored(self) -> DataFrame:
+        """(entry, score) of the matches."""
         terms = parse(self.text)
-        fields = sorted({t.field for t in terms if t.kind != "range"})
-        held = {f: F.col(f"_t_{i}") for i, f in enumerate(fields)}
-        d = base.withColumns({f"_t_{i}": F.coalesce(tokens(F.col(f).cast("string")), F.array().cast("array<string>")) for i, f in enumerate(fields)})
-        hits = [self._hit(t, held) for t in terms]
-        # Corpus statistics in one pass over pruned columns: documents, mean lengths, and documents that hold each term.
-        stats = d.agg(F.count("*").alias("n"), *[F.avg(F.size(held[f])).alias(f"len_{i}") for i, f in enumerate(fields)], *[F.sum((h > 0).cast("int")).alias(f"df_{i}") for i, h in enumerate(hits)]).first()
+        fields = sorted({t.field for t in terms})
+        catalog, name = self._index(fields)
+        values = catalog.table(name)
+        words = sorted({t.field for t in terms if t.kind != "range"})
+        # Documents and mean lengths: from the postings' counts, grouped before they meet anything.
+        total = self._base()[0].count()
+        post = catalog.table(name, "postings")
+        long = post.where(F.col("field").isin(words)).groupBy("field", "id").agg(F.sum("tf").alias("len"))
+        hits = [self._hit(i, t, post, values) for i, t in enumerate(terms)]
+        hits = reduce(DataFrame.unionByName, hits).join(long, ["field", "id"], "left")
+        stats = {r["nth"]: r["df"] for r in hits.groupBy("nth").agg(F.count("*").alias("df")).collect()}  # a row per term of the query
+        sums = {r["field"]: r["all"] for r in post.where(F.col("field").isin(words)).groupBy("field").agg(F.sum("tf").alias("all")).collect()}
         score = F.lit(0.0)
-        for i, (t, h) in enumerate(zip(terms, hits, strict=True)):
-            if t.need == "not":
+        for i, t in enumerate(terms):
+            if t.kind == "range" or t.need == "not":
                 continue
-            if t.kind == "range":
-                score = score + F.when(h > 0, 1.0).otherwise(0.0)
-                continue
-            df, n = stats[f"df_{i}"] or 0, stats["n"]
-            idf = F.lit(float(_idf(n, df)))
-            mean = float(stats[f"len_{fields.index(t.field)}"] or 1.0) or 1.0
-            score = score + idf * h * (K1 + 1) / (h + K1 * (1 - B + B * F.size(held[t.field]) / mean))
-        must = [h > 0 for t, h in zip(terms, hits, strict=True) if t.need == "must"]
-        never = [h > 0 for t, h in zip(terms, hits, strict=True) if t.need == "not"]
-        some = [h > 0 for t, h in zip(terms, hits, strict=True) if t.need == "should"]
-        cond = F.lit(True)
-        for c in must:
-            cond = cond & c
-        for c in never:
-            cond = cond & ~c
+            mean = (sums.get(t.field, 0) / total if total else 0.0) or 1.0
+            bm = F.lit(float(_idf(total, stats.get(i, 0)))) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
+            score = score + F.when(F.col("nth") == i, bm).otherwise(0.0)
+        for i, t in enumerate(terms):
+            if t.kind == "range" and t.need != "not":
+                score = score + F.when(F.col("nth") == i, 1.0).otherwise(0.0)
+        has = [F.bool_or(F.col("nth") == i) for i in range(len(terms))]
+        parts = hits.withColumn("part", score).groupBy(F.col("id").alias("entry")).agg(F.sum("part").alias("score"), *[h.alias(f"h{i}") for i, h in enumerate(has)])
+        must, never, some = ([F.col(f"h{i}") for i, t in enumerate(terms) if t.need == n] for n in ("must", "not", "should"))
+        if not must and not some:  # whatever isn't excluded
+            gone = parts.where(reduce(Column.__or__, never, F.lit(False))).select("entry")
+            return self._base()[0].select(F.col("_entry").alias("entry"), F.lit(0.0).alias("score")).join(gone, "entry", "left_anti")
+        cond = reduce(Column.__and__, must, F.lit(True)) & reduce(Column.__and__, [~c for c in never], F.lit(True))
         if some and not must:
-            any_of = F.lit(False)
-            for c in some:
-                any_of = any_of | c
-            cond = cond & any_of
-        out = d.where(F.coalesce(cond, F.lit(False))).withColumn("score", score)
-        return out.drop(*[f"_t_{i}" for i in range(len(fields))]), key
-
-    def _hit(self, t: Term, held: dict[str, Column]) -> Column:
-        """How often the term stands in the row."""
+            cond = cond & reduce(Column.__or__, some)
+        return parts.where(cond).select("entry", "score")
+
+    def _hit(self, nth: int, t: Term, post: DataFrame, values: DataFrame) -> DataFrame:
+        """(nth, field, id, tf): how often the term stands in which elements."""
+        head = [F.lit(nth).alias("nth"), F.lit(t.field).alias("field"), "id"]
         if t.kind == "range":
             low, high = t.text.split("\t")
-            c = F.col(t.field)
-            ok = F.lit(True)
-            if low != "*":
-                ok = ok & (c >= F.lit(low).cast("double"))
-            if high != "*":
-                ok = ok & (c <= F.lit(high).cast("double"))
-            return F.coalesce(ok.cast("int"), F.lit(0))
-        x = held[t.field]
-        if t.kind == "word":
-            return F.size(F.filter(x, lambda w: w == t.text))
-        if t.kind == "prefix":
-            return F.size(F.filter(x, lambda w: w.startswith(t.text)))
-        if t.kind == "fuzzy":
-            return F.size(F.filter(x, lambda w: F.levenshtein(w, F.lit(t.text), 2).between(0, 2)))
-        q = [w for w in re.split(r"[^\w]|_", t.text.lower()) if len(w) >= 2]
-        if not q:
-            return F.lit(0)
-        line, phrase = marked(x), " " + "  ".join(q) + " "
-        return ((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+            d, c = values, F.col(t.field)
+            d = d.where(c >= F.lit(low).cast("double")) if low != "*" else d
+            d = d.where(c <= F.lit(high).cast("double")) if high != "*" else d
+            return d.where(c.isNotNull()).select(*head, F.lit(1).cast("bigint").alias("tf"))
+        mine, w = post.where(F.col("field") == t.field), F.col("term")
+        if t.kind == "phrase":
+            q = [x for x in re.split(r"[^\w]|_", t.text.lower()) if len(x) >= 2]
+            if not q:
+                return mine.where(F.lit(False)).select(*head, F.lit(1).cast("bigint").alias("tf"))
+            out = None
+            for k, x in enumerate(q):  # where each word stands, moved back to where the phrase would begin
+                d = mine.where(w == x).select("id", _back("positions", k).alias("at"))
+                out = d if out is None else out.join(d.withColumnRenamed("at", "next"), "id").select("id", F.array_intersect("at", "next").alias("at"))
+            return out.where(F.size("at") > 0).select(*head, F.size("at").cast("bigint").alias("tf"))
+        found = {"word": w == t.text, "prefix": w.startswith(t.text), "fuzzy": F.levenshtein(w, F.lit(t.text), 2).between(0, 2)}[t.kind]
+        return mine.where(found).groupBy("id").agg(F.sum("tf").alias("tf")).select(*head, "tf")
 
     def results(self) -> DataFrame:
         """Matching rows with score, best first (or by the given order), then by id."""
-        d, key = self._scored()
+        base, key = self._base()
+        d = self._scored()
+        if not self.orders and self.most is not None:  # the best alone are joined with their properties
+            d = d.orderBy(F.desc("score"), "entry").limit(self.start + self.most)
+        d = base.join(d, F.col("_entry") == F.col("entry")).drop("_entry", "entry")
         by = [F.col(k).desc_nulls_last() if o == "desc" else F.col(k).asc_nulls_last() for k, o in self.orders] or [F.desc("score")]
         d = d.orderBy(*by, key)
         d = d.offset(self.start) if self.start else d
@@ -143,10 +161,14 @@ class IndexQuery:
 
     def totals(self) -> int:
         """Number of matches after offset and limit; never below 0."""
-        n = max(0, self._scored()[0].count() - self.start)
+        n = max(0, self._scored().count() - self.start)
         return min(n, self.most) if self.most is not None else n
 
 
+def _back(positions: str, k: int) -> Column:
+    return F.transform(positions, lambda p: p - k)
+
+
 def _idf(n: int, df: int) -> float:
     import math
 

@@ -1,84 +1,170 @@
-"""Indexes as tables: built, looked up, checked against their base, and taken through their states."""
+"""Indexes as tables: built, looked up, aggregated, checked against their base, selected for a query, and taken through their states.
+
+A composite index is a table (keys, id) and a vertex-centric one (src, keys, id, dst), dealt by ranges and sorted, so a lookup prunes files and row groups by their min and max. A mixed index has a
+table of its keys' values by id, which range predicates and aggregates read, and for text keys postings (field, term, id, tf, positions) sorted by field and term, of which a query reads its terms only.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.predicates import P, as_predicate
+from graphloom.functions.text import tokens
 from graphloom.graph import PropertyGraph
-from graphloom.lineage import new_path
+from graphloom.lineage import new_path, remove
 from graphloom.schema import Index
 
-#: Which action may follow which state, and the state it leads to.
+#: The states that each action may follow.
 ACTIONS = {
-    "REGISTER_INDEX": (("INSTALLED",), "REGISTERED"),
-    "REINDEX": (("REGISTERED", "ENABLED"), "ENABLED"),
-    "ENABLE_INDEX": (("REGISTERED", "DISABLED", "ENABLED"), "ENABLED"),
-    "DISABLE_INDEX": (("REGISTERED", "INSTALLED", "ENABLED"), "DISABLED"),
-    "DISCARD_INDEX": (("DISABLED", "REGISTERED", "DISCARDED"), "DISCARDED"),
-    "DROP_INDEX": (("DISCARDED",), None),
-    "MARK_DISCARDED": (("DISABLED", "REGISTERED", "DISCARDED"), "DISCARDED"),
+    "REGISTER_INDEX": ("INSTALLED", "DISABLED"),
+    "REINDEX": ("REGISTERED", "ENABLED", "DISABLED", "WRITE_ONLY_ENABLED"),
+    "REMOVE_STALE_ENTRIES": ("REGISTERED", "ENABLED", "DISABLED", "WRITE_ONLY_ENABLED"),
+    "ENABLE_WRITE_ONLY": ("REGISTERED", "ENABLED", "WRITE_ONLY_ENABLED"),
+    "ENABLE_INDEX": ("REGISTERED", "DISABLED", "ENABLED", "WRITE_ONLY_ENABLED"),
+    "DISABLE_INDEX": ("ENABLED", "DISABLED", "REGISTERED", "WRITE_ONLY_ENABLED", "INSTALLED"),
+    "DISCARD_INDEX": ("DISABLED", "REGISTERED", "DISCARDED", "WRITE_ONLY_ENABLED"),
+    "DROP_INDEX": ("DISCARDED",),
+    "MARK_DISCARDED": ("DISABLED", "REGISTERED", "DISCARDED", "WRITE_ONLY_ENABLED"),
 }
+#: The state that an action leads to; REINDEX leads to ENABLED unless writes alone were enabled, REMOVE_STALE_ENTRIES changes none, DROP_INDEX leaves none.
+LEADS_TO = {"REGISTER_INDEX": "REGISTERED", "ENABLE_WRITE_ONLY": "WRITE_ONLY_ENABLED", "ENABLE_INDEX": "ENABLED", "DISABLE_INDEX": "DISABLED", "DISCARD_INDEX": "DISCARDED", "MARK_DISCARDED": "DISCARDED"}
+#: Indexes in these states follow changes of the graph.
+FOLLOWING = ("INSTALLED", "REGISTERED", "ENABLED", "WRITE_ONLY_ENABLED")
+
+#: Analyzers of text keys: a value's terms in order. A function of Column may stand for either.
+ANALYZERS: dict[str, Callable[[Column], Column]] = {"text": tokens, "string": lambda c: F.array(c)}
 
 
 @dataclass
 class IndexCatalog:
-    """Indexes of a graph. An index is a table of (keys, id), dealt and sorted by its keys, so lookups prune files by their min and max."""
+    """Indexes of a graph and the paths of their tables, by kind of table."""
 
     graph: PropertyGraph
-    tables: dict[str, str]
-
-    def __init__(self, graph: PropertyGraph) -> None:
-        self.graph, self.tables = graph, {}
+    tables: dict[str, dict[str, str]] = field(default_factory=dict)
+    analyzers: dict[str, dict[str, Callable[[Column], Column]]] = field(default_factory=dict)
 
-    def build_index(self, name: str, kind: str, keys: tuple[str, ...], label: str | None = None, unique: bool = False) -> Index:
+    def build_index(self, name: str, kind: str, keys: tuple[str, ...], label: str | None = None, unique: bool = False, analyzers: dict | None = None) -> Index:
+        """analyzers: for text keys of a mixed index, "text" (the default), "string" (the whole value is one term) or a function of Column."""
         if name in self.graph.schema.indexes:
             raise ValueError(f"index exists: {name}")
+        if kind not in ("composite", "mixed", "vertex_centric"):
+            raise ValueError(f"no such kind of index: {kind}")
         self.graph.schema.indexes[name] = Index(name, kind, tuple(keys), label, unique)
+        self.analyzers[name] = {k: ANALYZERS[a] if isinstance(a, str) else a for k, a in (analyzers or {}).items()}
         return self.graph.schema.indexes[name]
 
+    def enabled(self, name: str, kind: str, keys: tuple[str, ...], label: str | None = None, **more) -> IndexCatalog:
+        """Build, register and fill an index: it answers from now on."""
+        self.build_index(name, kind, keys, label, **more)
+        self.update_index(name, "REGISTER_INDEX")
+        self.update_index(name, "REINDEX")
+        return self
+
+    # Tables ---------------------------------------------------------------------------------------------------------
+
+    def _elements(self, name: str) -> DataFrame:
+        """The elements that the index is over, their id as `id`."""
+        i = self.graph.schema.indexes[name]
+        if i.kind == "vertex_centric" or i.label in self.graph.edges:
+            return self.graph.edge_frame([i.label]).withColumn("id", F.col("eid").cast("string"))
+        return self.graph.vertex_frame([i.label] if i.label else None)
+
     def base(self, name: str) -> DataFrame:
+        """What the index's table would hold if it were written now."""
         i = self.graph.schema.indexes[name]
+        d = self._elements(name)
         if i.kind == "vertex_centric":
-            return self.graph.edge_frame([i.label]).select("src", *i.keys, F.col("eid").alias("id"), "dst")
-        v = self.graph.vertex_frame([i.label] if i.label else None)
-        return v.select(*i.keys, "id").dropna(subset=list(i.keys) if i.kind == "composite" else None, how="any")
+            return d.select("src", *i.keys, "id", "dst")
+        return d.select(*i.keys, "id").dropna(subset=list(i.keys), how="any" if i.kind == "composite" else "all")
+
+    def postings(self, name: str, base: DataFrame | None = None) -> DataFrame:
+        """(field, term, id, tf, positions) of a mixed index's text keys."""
+        i, base = self.graph.schema.indexes[name], self.base(name) if base is None else base
+        parts = []
+        for k, t in base.dtypes:
+            if k in i.keys and t == "string":
+                terms = base.select("id", F.posexplode(self.analyzers.get(name, {}).get(k, tokens)(F.col(k))).alias("at", "term")).where("term is not null")
+                counted = terms.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+                parts.append(counted.select(F.lit(k).alias("field"), "term", "id", "tf", "positions"))
+        if not parts:
+            return self.graph.spark.createDataFrame([], f"field string, term string, id {dict(base.dtypes)['id']}, tf int, positions array<int>")
+        return reduce(DataFrame.unionByName, parts)
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        i = self.graph.schema.indexes[name]
+        by = {"vertex_centric": ["src", *i.keys], "composite": list(i.keys), "mixed": ["id"]}[i.kind]
+        new = {"values": self._put(name, rows, by)}
+        if i.kind == "mixed":
+            terms = self.postings(name, self.graph.spark.read.schema(rows.schema).parquet(new["values"]))
+            new["postings"] = self._put(name, terms, ["field", "term", "id"])
+        old, self.tables[name] = self.tables.get(name, {}), new
+        self._forget(old)
+
+    def _put(self, name: str, rows: DataFrame, by: list[str]) -> str:
+        path = new_path(self.graph.spark, f"index-{name}")
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
+        return path
+
+    def _forget(self, paths: dict[str, str]) -> None:
+        for p in paths.values():
+            remove(self.graph.spark, p)
+
+    def table(self, name: str, what: str = "values") -> DataFrame:
+        if name not in self.tables:
+            raise ValueError(f"index has no entries yet: {name}")
+        return self.graph.spark.read.parquet(self.tables[name][what])
+
+    # States ---------------------------------------------------------------------------------------------------------
 
     def update_index(self, name: str, action: str) -> str | None:
         """Take an action; returns the new state, None after DROP_INDEX."""
         i = self.graph.schema.indexes[name]
-        allowed, state = ACTIONS[action]
-        if i.status not in allowed:
+        if i.status not in ACTIONS[action]:
             raise ValueError(f"{action} isn't possible in state {i.status}")
-        if action == "REINDEX":
-            self._write(name)
-        if action in ("DISCARD_INDEX", "MARK_DISCARDED"):
-            self.tables.pop(name, None)
-        if state is None:
+        if action == "REINDEX":  # restores what is missing, removes nothing
+            base = self.base(name)
+            self._write(name, self.table(name).unionByName(self.missing_entries(name)) if name in self.tables else base)
+            i.status = i.status if i.status == "WRITE_ONLY_ENABLED" else "ENABLED"
+        elif action == "REMOVE_STALE_ENTRIES":  # of elements that are gone; adds nothing
+            if i.kind == "vertex_centric":
+                raise ValueError("only indexes of the whole graph have stale entries removed")
+            if name in self.tables:
+                self._write(name, self.table(name).join(self._elements(name).select("id"), "id", "left_semi").select(*self.table(name).columns))
+        elif action == "DROP_INDEX":
             del self.graph.schema.indexes[name]
+            self._forget(self.tables.pop(name, {}))
             return None
-        i.status = state
-        return state
+        else:
+            if action in ("DISCARD_INDEX", "MARK_DISCARDED"):
+                self._forget(self.tables.pop(name, {}))
+            i.status = LEADS_TO[action]
+        return i.status
 
-    def _write(self, name: str) -> None:
+    def follow(self, graph: PropertyGraph) -> IndexCatalog:
+        """The same indexes over a new version of the graph: those in a state that receives changes are brought up to date, the others keep their entries as they are."""
+        graph.schema.indexes = self.graph.schema.indexes
+        self.graph = graph
+        for name, i in graph.schema.indexes.items():
+            if i.status in FOLLOWING and name in self.tables:
+                self._write(name, self.base(name))
+        return self
+
+    def _answering(self, name: str) -> Index:
         i = self.graph.schema.indexes[name]
-        by = ["src", *i.keys] if i.kind == "vertex_centric" else list(i.keys)
-        path = new_path(self.graph.spark, f"index-{name}")
-        self.base(name).repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(path)
-        self.tables[name] = path
+        if i.status != "ENABLED":
+            raise ValueError(f"index {name} is {i.status}")
+        return i
 
-    def table(self, name: str) -> DataFrame:
-        if name not in self.tables:
-            raise ValueError(f"index has no entries yet: {name}")
-        return self.graph.spark.read.schema(self.base(name).schema).parquet(self.tables[name])
+    # Queries --------------------------------------------------------------------------------------------------------
 
     def lookup(self, name: str, *values) -> DataFrame:
         """Ids by equality on all keys of a composite index; only an enabled index answers."""
-        i = self.graph.schema.indexes[name]
-        if i.status != "ENABLED":
-            raise ValueError(f"index {name} is {i.status}")
+        i = self._answering(name)
         if len(values) != len(i.keys):
             raise ValueError("a composite index needs a value for each key")
         d = self.table(name)
@@ -86,6 +172,91 @@ class IndexCatalog:
             d = d.where(F.col(k) == F.lit(v))
         return d.select("id")
 
+    def incident(self, name: str, seeds: DataFrame | list[int], *prefix, interval: tuple | None = None, order: str = "asc", limit: int | None = None) -> DataFrame:
+        """(src, keys, id, dst) of a vertex-centric index: edges of the seeds (a list of ids, or a DataFrame with a column id) whose first keys equal `prefix` and whose next key is in
+        [low, high) of `interval` (None: open), per vertex in the index's order, at most `limit` each."""
+        i = self._answering(name)
+        if len(prefix) + (interval is not None) > len(i.keys):
+            raise ValueError("the index has fewer keys")
+        d = self.table(name)
+        if isinstance(seeds, DataFrame):
+            d = d.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+        else:
+            d = d.where(F.col("src").isin(list(seeds)))
+        for k, v in zip(i.keys, prefix, strict=False):
+            d = d.where(F.col(k) == F.lit(v))
+        if interval:
+            k, (low, high) = F.col(i.keys[len(prefix)]), interval
+            d = d.where(k >= F.lit(low)) if low is not None else d
+            d = d.where(k < F.lit(high)) if high is not None else d
+        if limit is None:
+            return d
+        by = [F.col(k).desc_nulls_last() if order == "desc" else F.col(k).asc_nulls_last() for k in i.keys[len(prefix) :]]
+        nth = F.row_number().over(Window.partitionBy("src").orderBy(*by, "id"))
+        return d.withColumn("_nth", nth).where(F.col("_nth") <= limit).drop("_nth")
+
+    def query(self, name: str, *conditions: tuple[str, object]) -> DataFrame:
+        """Ids by conditions (key, value or P) on keys of a mixed index, all of which must hold. (key, Words("a b")) asks the postings for all these terms; everything else reads the values' columns."""
+        i = self._answering(name)
+        if unknown := [k for k, _ in conditions if k not in i.keys]:
+            raise ValueError(f"not in the index: {unknown}")
+        d = self.table(name)
+        kinds = dict(d.dtypes)
+        for k, p in conditions:
+            if not isinstance(p, Words):
+                d = d.where(as_predicate(p).column(F.col(k), kinds[k]))
+        d = d.select("id")
+        for k, p in conditions:
+            if isinstance(p, Words):
+                for term in p.terms:
+                    d = d.join(self.table(name, "postings").where((F.col("field") == k) & (F.col("term") == term)).select("id"), "id", "left_semi")
+        return d
+
+    def aggregate(self, name: str, key: str, *conditions: tuple[str, object]) -> DataFrame:
+        """(count, min, max, avg, sum) of a numeric key over the elements that meet the conditions, from the index alone: conditions on other keys are refused."""
+        hit = self.query(name, *conditions)
+        d = self.table(name).select("id", key)
+        if dict(d.dtypes)[key] in ("string", "boolean", "binary") or dict(d.dtypes)[key].startswith(("array", "struct", "map")):
+            raise ValueError(f"{key} is no number")
+        d = d.join(hit, "id", "left_semi") if conditions else d
+        c = F.col(key)
+        return d.agg(F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("avg"), F.sum(c).alias("sum"))
+
+    def select(self, label: str, conditions: dict[str, object]) -> tuple[str, dict] | None:
+        """(index, the conditions that it answers) with the most keys answered: a composite one needs equality on all its keys (a unique one is taken first), a mixed one takes any of its own."""
+        best, score = None, (0, 0, 0)
+        for name, i in self.graph.schema.indexes.items():
+            if i.status != "ENABLED" or i.label not in (None, label) or i.kind == "vertex_centric":
+                continue
+            mine = {k: v for k, v in conditions.items() if k in i.keys}
+            if i.kind == "composite" and (len(mine) < len(i.keys) or any(isinstance(v, (P, Words)) for v in mine.values())):
+                continue
+            rank = (int(i.unique), len(mine), int(i.kind == "composite"))
+            if mine and rank > score:
+                best, score = (name, mine), rank
+        return best
+
+    def vertices(self, label: str, conditions: dict[str, object], force: bool = False) -> DataFrame:
+        """Vertices by conditions: ids from as many indexes as help, intersected, and what they leave is filtered on the vertices. force: a query that no index helps is refused."""
+        left, ids, used = dict(conditions), None, []
+        while found := self.select(label, left):
+            name, mine = found
+            i = self.graph.schema.indexes[name]
+            hit = self.lookup(name, *[mine[k] for k in i.keys]) if i.kind == "composite" else self.query(name, *mine.items())
+            ids = hit if ids is None else ids.join(hit, "id", "left_semi")
+            left = {k: v for k, v in left.items() if k not in mine}
+            used.append(name)
+        if force and not used:
+            raise ValueError("no index answers any of these conditions")
+        v = self.graph.vertices[label]
+        kinds = dict(v.dtypes)
+        for k, p in left.items():
+            p = reduce(P.and_, [_has_word(t) for t in p.terms]) if isinstance(p, Words) else as_predicate(p)
+            v = v.where(p.column(F.col(k), kinds[k]))
+        return v if ids is None else v.join(ids.distinct(), "id", "left_semi")
+
+    # Checks ---------------------------------------------------------------------------------------------------------
+
     def stale_entries(self, name: str) -> DataFrame:
         """Entries that the base no longer has."""
         return self.table(name).exceptAll(self.base(name))
@@ -93,15 +264,28 @@ class IndexCatalog:
     def missing_entries(self, name: str) -> DataFrame:
         return self.base(name).exceptAll(self.table(name))
 
-    def remove_stale(self, name: str) -> None:
-        """Rebuild the index from its base."""
-        self._write(name)
-
     def unique_violations(self, name: str) -> DataFrame:
         i = self.graph.schema.indexes[name]
         return self.base(name).groupBy(*i.keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+@dataclass(frozen=True)
+class Words:
+    """All these words, as the text analyzer would cut them."""
+
+    text: str
+
+    @property
+    def terms(self) -> list[str]:
+        import re
+
+        return [t for t in re.split(r"[^\w]|_", self.text.lower()) if len(t) >= 2]
+
+
+def _has_word(term: str) -> P:
+    return P(lambda c, k: F.array_contains(tokens(c), term), "word")
+
+
 def print_schema(graph: PropertyGraph) -> dict[str, DataFrame]:
     """vertex_labels, edge_labels, property_keys and indexes as tables."""
     s, spark = graph.schema, graph.spark
