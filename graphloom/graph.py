@@ -85,6 +85,7 @@ class PropertyGraph:
 
     def __post_init__(self) -> None:
         ship(self.spark)
+        self._before: PropertyGraph | None = None
         self.vertices = self.vertices if isinstance(self.vertices, Tables) else Tables(self.vertices)
 
     def number(self, label: str) -> int:
@@ -188,6 +189,23 @@ class PropertyGraph:
 
         return with_changes(self, **changes)
 
+    def begin(self, changed: PropertyGraph) -> None:
+        """This object shows `changed` until rollback() or commit(): a transaction's own view. Changes on top of changes share one rollback."""
+        self._before = self._before or self.copy()
+        self.vertices, self.edges, self.schema, self.variables, self.numbers = changed.vertices, changed.edges, changed.schema, changed.variables, changed.numbers
+
+    def rollback(self) -> None:
+        if self._before:
+            old, self._before = self._before, None
+            self.vertices, self.edges, self.schema, self.variables, self.numbers = old.vertices, old.edges, old.schema, old.variables, old.numbers
+
+    def commit(self) -> None:
+        self._before = None
+
+    def features(self) -> dict[str, bool]:
+        """What graphs of this kind can do, by the usual names."""
+        return {"computer": True, "transactions": True, "persistence": True, "threaded_transactions": False, "variables": True, "user_supplied_ids": True, "string_ids": False, "meta_properties": True, "multi_properties": True, "null_property_values": False, "duplicate_multi_properties": True, "upsert": False}
+
     def copy(self) -> PropertyGraph:
         import copy
 

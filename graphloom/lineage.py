@@ -45,6 +45,20 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_buckets: list[tuple[SparkSession, str]] = []
+
+
+def dealt(df: DataFrame, key: str, name: str = "dealt") -> DataFrame:
+    """Write df in as many buckets of `key` as shuffles have partitions, sorted within: tables dealt by keys of one type join on them without a shuffle.
+    A table of the session's catalog whose files lie in the shared folder."""
+    spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path, table = new_path(spark, name), f"graphloom_{uuid.uuid4().hex}"
+    # One file per bucket: rows are dealt by the hash that names the buckets.
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    _buckets.append((spark, table))
+    return spark.table(table)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing will read again."""
     for df in tables:
@@ -62,5 +76,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _remove_all() -> None:
+    for spark, table in _buckets:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # as below
+            pass
     for spark, path in _made:
         remove(spark, path)

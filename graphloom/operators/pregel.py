@@ -1,19 +1,22 @@
 """Bulk-synchronous vertex programs and map-reduce over their results.
 
 A superstep is one plan: state joined with edges gives messages, messages to a vertex are combined by an aggregate (partial before the shuffle), and the state is updated by a left join.
-State is written after every superstep, so the plan never grows and a lost executor repeats one superstep's tasks.
+Edges are dealt by their sender once and state by vertex, both in equal buckets: only messages are shuffled. State is written after every superstep, so the plan never grows and a lost
+executor repeats one superstep's tasks; the state before the last is deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.lineage import materialize
+from graphloom.lineage import dealt, materialize, release
+from graphloom.schema import PropertyKey
 
 
 @dataclass
@@ -35,8 +38,12 @@ class VertexProgram:
         return vertices
 
     def message(self, memory: Memory) -> Column | None:
-        """Sent along each edge, from state columns (of the sender) and edge columns; null: nothing is sent."""
-        raise NotImplementedError
+        """Local scope. Sent along each edge, from state columns (of the sender) and edge columns; null: nothing is sent."""
+        return None
+
+    def send_to(self, memory: Memory) -> tuple[Column, Column] | None:
+        """Global scope: (vertex id, message) from state columns, to any vertex whether or not an edge leads there; null: nothing is sent."""
+        return None
 
     def sends(self, memory: Memory) -> Column:
         """Which vertices send."""
@@ -90,7 +97,7 @@ class GraphComputer:
         self._vertices = self._edges = None
         self._program: VertexProgram | None = None
         self._jobs: dict[str, MapReduce] = {}
-        self._mode = "NONE"
+        self._mode, self._workers = "NONE", None
 
     def vertices(self, condition: Column) -> GraphComputer:
         self._vertices = condition
@@ -109,10 +116,15 @@ class GraphComputer:
         return self
 
     def workers(self, n: int) -> GraphComputer:
+        """How many tasks work on the messages at once, while submit() runs."""
+        if n < 1:
+            raise ValueError("a computer needs a worker")
+        self._workers = n
         return self
 
     def result(self, mode: str) -> GraphComputer:
-        """NONE: state only. PERSIST: a new graph whose vertices have the state's columns as properties."""
+        """NONE: state only. PERSIST: a new graph whose vertices have the state's columns as properties, written. LOCALTX: the same graph object sees them until its own `rollback()`; nothing is written
+        beyond the state itself."""
         if mode not in ("NONE", "PERSIST", "LOCALTX"):
             raise ValueError(f"no such result mode: {mode}")
         self._mode = mode
@@ -126,39 +138,60 @@ class GraphComputer:
         ids = v.select("id")
         if self._vertices is not None:
             e = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        state, memory = run_program(self._program, v, e) if self._program else (v, Memory())
+        conf, before = self.graph.spark.conf, self.graph.spark.conf.get("spark.sql.shuffle.partitions")
+        try:
+            if self._workers:
+                conf.set("spark.sql.shuffle.partitions", str(self._workers))
+            state, memory = run_program(self._program, v, e) if self._program else (v, Memory())
+        finally:
+            conf.set("spark.sql.shuffle.partitions", before)
         reduced = {n: j.run(state) for n, j in self._jobs.items()}
-        graph = None
-        if self._mode != "NONE":
-            graph = self.graph.copy()
-            for label, df in graph.vertices.items():
-                if self.vertex_labels is None or label in self.vertex_labels:
-                    new = [c for c in state.columns if c != "id"]
-                    graph.vertices[label] = df.drop(*new).join(state, "id", "left")
-        return Result(state, memory, reduced, graph)
+        if self._mode == "NONE":
+            return Result(state, memory, reduced)
+        graph = self.graph.copy()
+        new = [c for c in state.columns if c != "id"]
+        for label in graph.vertices:
+            if self.vertex_labels is None or label in self.vertex_labels:
+                df = graph.vertices[label]
+                df = df.drop(*new).join(state, "id", "left")
+                graph.vertices[label] = materialize(df, "persisted") if self._mode == "PERSIST" else df
+        for c, t in state.dtypes:
+            if c != "id":
+                graph.schema.keys.setdefault(c, PropertyKey(c, t))
+        if self._mode == "LOCALTX":
+            self.graph.begin(graph)
+        return Result(state, memory, reduced, graph if self._mode == "PERSIST" else self.graph)
 
 
 def run_program(p: VertexProgram, vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, Memory]:
-    if p.scope == "in":
-        edges = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
-    elif p.scope == "both":
-        edges = edges.unionByName(edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    if p.scope != "out":
+        turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
+        edges = turned if p.scope == "in" else edges.unionByName(turned)
     memory = Memory()
-    state = materialize(p.setup(vertices, edges), "state")
+    setup = materialize(p.setup(vertices, edges), "setup")
+    state = dealt(setup, "id", "state")
+    edges = dealt(edges, "src", "edges")
     for name, c in p.aggregates().items():
         memory.values[name] = state.agg(c).first()[0]
     while True:
-        msg = p.message(memory)
-        if msg is not None:
-            sent = state.where(p.sends(memory)).join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), msg.alias("msg")).where("msg is not null")
-            inbox = sent.groupBy("to").agg(p.combine(F.col("msg")).alias("inbox"))
+        local, anywhere = p.message(memory), p.send_to(memory)
+        sender = state.where(p.sends(memory))
+        sent = []
+        if local is not None:
+            sent.append(sender.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), local.alias("msg")))
+        if anywhere is not None:
+            sent.append(sender.select(anywhere[0].cast("bigint").alias("to"), anywhere[1].alias("msg")))
+        if sent:
+            inbox = reduce(DataFrame.unionByName, sent).where("msg is not null and to is not null").groupBy("to").agg(p.combine(F.col("msg")).alias("inbox"))
             full = state.join(inbox, F.col("id") == F.col("to"), "left").drop("to")
         else:
             full = state.withColumn("inbox", F.lit(None).cast("double"))
-        state = materialize(full.withColumns(p.update(memory)).select(*state.columns), "state")
+        old, state = state, dealt(full.withColumns(p.update(memory)).select(*state.columns), "id", "state")
+        release(old)
         if p.aggregates():
             row = state.agg(*[c.alias(n) for n, c in p.aggregates().items()]).first()
             memory.values |= row.asDict()
         if p.terminate(memory):
+            release(edges, setup)
             return state, memory
         memory.iteration += 1
