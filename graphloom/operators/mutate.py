@@ -8,21 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import EdgeTable, PropertyGraph
+from graphloom.lineage import materialize
 
 
-def with_changes(graph: PropertyGraph, add_vertices: dict | None = None, add_edges: dict | None = None, set_properties: dict | None = None, remove_vertices: DataFrame | None = None, remove_edges: DataFrame | None = None) -> PropertyGraph:
-    """A new graph; the old one stays as it is.
+def with_changes(graph: PropertyGraph, add_vertices: dict | None = None, add_edges: dict | None = None, set_properties: dict | None = None, remove_vertices: DataFrame | None = None, remove_edges: DataFrame | None = None, check: bool | None = None) -> PropertyGraph:
+    """A new graph; the old one stays as it is. Names that the schema doesn't know are added, dropped or refused, as its mode says.
+    check (by default where the schema has constraints): a change that breaks a unique index, a multiplicity or a connection is refused with a ValueError; that runs the checks.
 
     add_vertices: label -> rows with id and properties. add_edges: label -> rows with eid, src, dst, added to each edge table whose ends fit the ids.
     set_properties: label -> (key, rows (id, value)). remove_vertices: rows with id; their edges go too. remove_edges: rows with eid.
     """
     g = graph.copy()
+    check = g.schema.constraints if check is None else check
     for label, rows in (add_vertices or {}).items():
+        rows = g.schema.admit_vertices(label, rows)
         old = g.vertices.get(label)
         g.number(label)
         g.vertices[label] = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
     for label, rows in (add_edges or {}).items():
-        for t in g.edges[label]:
+        rows = g.schema.admit_edges(label, rows)
+        if check and g.schema.edge_labels[label].connections:
+            number = {n: x for x, n in g.numbers.items()}
+            ends = rows.select(F.shiftright("src", 56).alias("o"), F.shiftright("dst", 56).alias("i")).distinct().collect()  # at most labels squared
+            if bad := [(number.get(r["o"]), number.get(r["i"])) for r in ends if (number.get(r["o"]), number.get(r["i"])) not in g.schema.edge_labels[label].connections]:
+                raise ValueError(f"{label} doesn't connect {bad}")
+        for t in g.edges.get(label, []):
             mine = rows.where((F.shiftright("src", 56) == g.numbers[t.out_label]) & (F.shiftright("dst", 56) == g.numbers[t.in_label]))
             t2 = EdgeTable(t.df.unionByName(mine, allowMissingColumns=True), t.out_label, t.in_label)
             g.edges[label] = [t2 if x is t else x for x in g.edges[label]]
@@ -38,9 +48,22 @@ def with_changes(graph: PropertyGraph, add_vertices: dict | None = None, add_edg
         without = lambda df, c: df.join(gone, F.col(c) == F.col("_gone"), "left_anti")
         g.vertices = {x: without(df, "id") for x, df in g.vertices.items()}
         g.edges = {x: [EdgeTable(without(without(t.df, "src"), "dst"), t.out_label, t.in_label) for t in ts] for x, ts in g.edges.items()}
+    if check:
+        verify(g, set(add_vertices or {}) | set(set_properties or {}), set(add_edges or {}))
     return g
 
 
+def verify(graph: PropertyGraph, vertex_labels: set[str], edge_labels: set[str]) -> None:
+    """Raise ValueError if a unique index over one of these vertex labels, or the multiplicity of one of these edge labels, is broken."""
+    for i in graph.schema.indexes.values():
+        for label in vertex_labels if i.unique and i.kind == "composite" else ():
+            if i.label in (None, label) and set(i.keys) <= set(graph.vertices[label].columns) and not uniqueness_violations(graph.vertices[label], list(i.keys)).isEmpty():
+                raise ValueError(f"{i.name} isn't unique any more")
+    for label in edge_labels:
+        if not multiplicity_violations(graph, label).isEmpty():
+            raise ValueError(f"{label} has more edges than {graph.schema.edge_labels[label].multiplicity} allows")
+
+
 def drop(graph: PropertyGraph, frame) -> PropertyGraph:
     if frame.kind == "vertex":
         return with_changes(graph, remove_vertices=frame.df.select(F.col("_id").alias("id")))
@@ -71,6 +94,32 @@ def alive(df: DataFrame, created: Column, ttl_seconds: int, now: Column) -> Data
     return df.where(~F.coalesce(created + F.make_dt_interval(secs=F.lit(ttl_seconds)) <= now, F.lit(False)))
 
 
+def expire(graph: PropertyGraph, now: Column, created: str = "created") -> PropertyGraph:
+    """The graph at `now`: rows of labels with a time to live whose column `created` is older are gone (a vertex's edges with it), and values of keys with one are absent. What has no such column lives."""
+    g = graph.copy()
+    for label in g.vertices:
+        kind = g.schema.vertex_labels.get(label)
+        keys = [k for k in g.schema.keys.values() if k.ttl_seconds]
+        if not (keys or (kind and kind.ttl_seconds)):
+            continue
+        df = g.vertices[label]
+        if created not in df.columns:
+            continue
+        if kind and kind.ttl_seconds:
+            g = with_changes(g, remove_vertices=expired(df, F.col(created), kind.ttl_seconds, now).select("id"), check=False)
+            df = g.vertices[label]
+        for k in keys:
+            if k.name in df.columns:
+                over = F.coalesce(F.col(created) + F.make_dt_interval(secs=F.lit(k.ttl_seconds)) <= now, F.lit(False))
+                df = df.withColumn(k.name, F.when(~over, F.col(k.name)))
+        g.vertices[label] = df
+    for label, ts in g.edges.items():
+        ttl = g.schema.edge_labels[label].ttl_seconds if label in g.schema.edge_labels else None
+        if ttl:
+            g.edges[label] = [EdgeTable(alive(t.df, F.col(created), ttl, now), t.out_label, t.in_label) if created in t.df.columns else t for t in ts]
+    return g
+
+
 # Checks ------------------------------------------------------------------------------------------------------------------
 
 
@@ -85,6 +134,17 @@ def ghost_edges(graph: PropertyGraph, labels=None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def remove_ghosts(graph: PropertyGraph, labels=None) -> tuple[PropertyGraph, DataFrame]:
+    """The graph without edges that have an end which no longer exists, and (label, removed): how many went."""
+    ghosts = materialize(ghost_edges(graph, labels), "ghosts")
+    g = graph.copy()
+    for label in g.edges if labels is None else labels:
+        gone = ghosts.where(F.col("label") == label).select(F.col("eid").alias("_gone"), F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+        on = (F.col("eid").cast("string") == F.col("_gone")) & (F.col("src") == F.col("_src")) & (F.col("dst") == F.col("_dst"))
+        g.edges[label] = [EdgeTable(t.df.join(gone, on, "left_anti"), t.out_label, t.in_label) for t in g.edges[label]]
+    return g, ghosts.groupBy("label").agg(F.count("*").alias("removed"))
+
+
 def uniqueness_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., n): value combinations that stand in more than one row, all keys present."""
     return df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 
 MULTIPLICITIES = ("MULTI", "SIMPLE", "MANY2ONE", "ONE2MANY", "ONE2ONE")
 CARDINALITIES = ("SINGLE", "LIST", "SET")
-INDEX_STATES = ("INSTALLED", "REGISTERED", "ENABLED", "DISABLED", "DISCARDED")
+INDEX_STATES = ("INSTALLED", "REGISTERED", "ENABLED", "DISABLED", "DISCARDED", "WRITE_ONLY_ENABLED")
 
 
 @dataclass
@@ -100,6 +100,40 @@ class GraphSchema:
                 return self
         raise KeyError(old)
 
+    # What a change may bring ------------------------------------------------------------------------------------------
+
+    def _admit(self, rows, own: tuple[str, ...] | None, reserved: tuple[str, ...], what: str):
+        """rows with the properties that may stay; own: those that the label allows, if constraints hold."""
+        names = [(c, t) for c, t in rows.dtypes if c not in reserved]
+        unknown = [c for c, _ in names if c not in self.keys]
+        if unknown and self.mode == "none":
+            raise ValueError(f"unknown properties: {unknown}")
+        if unknown and self.mode == "ignore":
+            return self._admit(rows.drop(*unknown), own, reserved, what)
+        for c, t in names:
+            self.keys.setdefault(c, PropertyKey(c, t.removeprefix("array<").removesuffix(">"), "LIST" if t.startswith("array") else "SINGLE"))
+        if self.constraints and own is not None and self.mode != "infer" and (extra := [c for c, _ in names if c not in own]):
+            raise ValueError(f"{what} has no properties {extra}")
+        return rows
+
+    def admit_vertices(self, label: str, rows):
+        """Rows (a DataFrame with id) that a change adds under the label, as the mode and the constraints let them in."""
+        if label not in self.vertex_labels:
+            if self.mode == "none":
+                raise ValueError(f"no such vertex label: {label}")
+            self.vertex_labels[label] = VertexLabel(label)
+        v = self.vertex_labels[label]
+        out = self._admit(rows, v.keys, ("id",), label)
+        v.keys = v.keys if not v.keys or self.mode != "infer" else tuple(dict.fromkeys((*v.keys, *[c for c in out.columns if c != "id"])))
+        return out
+
+    def admit_edges(self, label: str, rows):
+        if label not in self.edge_labels:
+            if self.mode == "none":
+                raise ValueError(f"no such edge label: {label}")
+            self.edge_labels[label] = EdgeLabel(label)
+        return self._admit(rows, self.edge_labels[label].keys or None, ("eid", "src", "dst"), label)
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1, sort_keys=True)
 
