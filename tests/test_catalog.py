@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from graphloom.plans import catalog
+from graphloom.plans import catalog, catalog_engine  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 #: A share of the catalogue; the driver compares all of it.
-NAMES = ["flagship", "property_scan", "has_connective_nested", "graph_or_branch_limits", "text_contains_phrase", "text_fuzzy", "both", "other_v", "vertex_query_topk", "match_triangle", "where_and_or", "as_select_by", "coalesce", "optional", "local_topk", "repeat_until", "group_by_sum", "order_multi", "geo_within_circle", "sssp_weighted", "ghost_edges", "drop_cascade", "change_state_added", "graphson_roundtrip"]
+NAMES = ["flagship", "property_scan", "has_connective_nested", "graph_or_branch_limits", "text_contains_phrase", "text_fuzzy", "both", "other_v", "vertex_query_topk", "match_triangle", "where_and_or", "as_select_by", "coalesce", "optional", "local_topk", "repeat_until", "group_by_sum", "order_multi", "geo_within_circle", "sssp_weighted", "ghost_edges", "drop_cascade", "change_state_added", "graphson_roundtrip", "id_step", "properties_meta_filter", "repeat_do_while", "aggregate_cap", "mixed_query_words", "index_aggregates", "index_intersection", "vertex_centric_lookup", "index_lifecycle", "index_repair_jobs", "index_raw_query_score", "global_scope", "computer_result_modes", "label_propagation", "shortest_path", "scan_counters", "remove_ghosts", "schema_enforced", "ttl_by_schema", "transaction_view", "change_resume", "change_retries", "geo_shapes_within"]
 
 
 @pytest.fixture(scope="module")
@@ -32,4 +32,4 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_every_query_is_callable():
-    assert len(catalog.QUERIES) > 120 and set(catalog.SQL) <= set(catalog.QUERIES)
+    assert len(catalog.QUERIES) > 180 and set(catalog.SQL) <= set(catalog.QUERIES)

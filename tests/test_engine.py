@@ -85,7 +85,7 @@ def test_index_lifecycle(spark):
     assert c.lookup("by_name", "pluto").count() == 1
     g.vertices["god"] = g.vertices["god"].where("name != 'pluto'")
     assert [r.name for r in c.stale_entries("by_name").collect()] == ["pluto"] and c.missing_entries("by_name").isEmpty()
-    c.remove_stale("by_name")
+    c.update_index("by_name", "REMOVE_STALE_ENTRIES")
     assert c.stale_entries("by_name").isEmpty() and c.unique_violations("by_name").isEmpty()
     for a in ("DISABLE_INDEX", "DISCARD_INDEX"):
         c.update_index("by_name", a)
@@ -93,6 +93,123 @@ def test_index_lifecycle(spark):
     assert print_schema(g)["vertex_labels"].count() == 6
 
 
+def test_index_queries_and_selection(spark):
+    from graphloom.functions.predicates import P
+    from graphloom.operators.index import Words
+
+    g = gods(spark)
+    c = IndexCatalog(g).enabled("ages", "mixed", ("name", "age"), "god").enabled("names", "composite", ("name",), "god", unique=True)
+    assert c.query("ages", ("age", P.gt(4000)), ("name", Words("Pluto"))).count() == 0 and c.query("ages", ("age", P.gte(4000)), ("name", Words("Pluto"))).count() == 1
+    assert c.select("god", {"name": "pluto", "age": 4000}) == ("names", {"name": "pluto"}) and c.select("god", {"no": 1}) is None
+    assert [r.age for r in c.vertices("god", {"name": "pluto", "age": P.lt(4500)}, force=True).collect()] == [4000]
+    with pytest.raises(ValueError):
+        c.vertices("god", {"no": 1}, force=True)
+    with pytest.raises(ValueError):
+        c.query("ages", ("no", 1))
+    with pytest.raises(ValueError):
+        c.aggregate("ages", "name")
+    total = c.aggregate("ages", "age").first()
+    assert (total["count"], total["min"], total["max"], total["avg"], total["sum"]) == (3, 4000, 5000, 4500.0, 13500)
+    c.update_index("ages", "ENABLE_WRITE_ONLY")
+    with pytest.raises(ValueError):
+        c.query("ages", ("age", 1))
+    one = IndexCatalog(g).enabled("whole", "mixed", ("name",), "god", analyzers={"name": F.upper and (lambda x: F.array(F.upper(x)))})
+    assert one.query("whole", ("name", P.eq("pluto"))).count() == 1 and {r.term for r in one.table("whole", "postings").collect()} == {"JUPITER", "NEPTUNE", "PLUTO"}
+    IndexCatalog(g).enabled("fights", "vertex_centric", ("time",), "battled")
+
+
+def test_full_text_queries_against_plain_python(spark):
+    """Words, phrases, prefixes, fuzzy words, ranges and signs, by going through every row."""
+    import math
+    import random
+
+    from graphloom.graph import PropertyGraph
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "alphas", "gamut", "delt"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(12))) if i % 9 else None, i) for i in range(80)]
+    g = PropertyGraph(spark).add_vertices("doc", spark.createDataFrame(rows, "key bigint, text string, n bigint"), "key")
+
+    def near(a, b):
+        d = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            d.append([i] + [0] * len(b))
+            for j, y in enumerate(b, 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+        return d[-1][-1] <= 2
+
+    def tf(t, i):
+        w = (rows[i][1] or "").split()
+        if t.kind == "range":
+            low, high = t.text.split("\t")
+            return int((low == "*" or i >= int(low)) and (high == "*" or i <= int(high)))
+        if t.kind == "phrase":
+            q = t.text.split()
+            return sum(w[k : k + len(q)] == q for k in range(len(w)))
+        return sum({"word": x == t.text, "prefix": x.startswith(t.text), "fuzzy": near(x, t.text)}[t.kind] for x in w)
+
+    sizes = [len((r[1] or "").split()) for r in rows]
+    mean = sum(sizes) / len(rows)
+    for query in ("text:alpha text:beta", 'text:"alpha beta" text:gamma', "+text:alph* -text:beta", "text:delta~", "+text:gamma +n:[10 TO 40]", "-text:alpha", 'text:"beta beta"', "text:nothing"):
+        terms = parse(query)
+        df = [sum(tf(t, i) > 0 for i in range(80)) for t in terms]
+        want = {}
+        for i in range(80):
+            hit = [tf(t, i) for t in terms]
+            must = [h > 0 for t, h in zip(terms, hit, strict=True) if t.need == "must"]
+            some = [h > 0 for t, h in zip(terms, hit, strict=True) if t.need == "should"]
+            if any(h and t.need == "not" for t, h in zip(terms, hit, strict=True)) or not all(must) or (some and not must and not any(some)):
+                continue
+            score = 0.0
+            for t, h, d in zip(terms, hit, df, strict=True):
+                if h and t.need != "not":
+                    score += 1.0 if t.kind == "range" else math.log(1 + (80 - d + 0.5) / (d + 0.5)) * h * 2.2 / (h + 1.2 * (0.25 + 0.75 * sizes[i] / mean))
+            want[i] = round(score, 9)
+        assert {r.key: round(r.score, 9) for r in IndexQuery(g, "doc", query).results().collect()} == want, query
+
+
+def test_vertex_program_scopes(spark):
+    """Out, in and both along edges; what is sent to a named vertex arrives whether or not an edge leads there."""
+    from graphloom.operators.pregel import VertexProgram, run_program
+
+    class Ones(VertexProgram):
+        def __init__(self, scope, to=None):
+            self.scope, self.to = scope, to
+
+        def setup(self, vertices, edges):
+            return vertices.select("id", F.lit(0).cast("bigint").alias("n"))
+
+        def message(self, memory):
+            return None if self.to is not None else F.lit(1).cast("bigint")
+
+        def send_to(self, memory):
+            return None if self.to is None else (F.lit(self.to), F.lit(1).cast("bigint"))
+
+        def update(self, memory):
+            return {"n": F.coalesce("inbox", F.lit(0).cast("bigint"))}
+
+        def terminate(self, memory):
+            return True
+
+    e = edges(spark, [(0, 1), (0, 1), (1, 2), (2, 2)])
+    for p, want in ((Ones("out"), [0, 2, 2, 0]), (Ones("in"), [2, 1, 1, 0]), (Ones("both"), [2, 3, 3, 0]), (Ones("out", 3), [0, 0, 0, 4])):
+        assert [r.n for r in run_program(p, ids(spark, 4), e)[0].orderBy("id").collect()] == want
+
+
+def test_edges_of_a_program_are_dealt_once(spark):
+    """State and edges lie in equal buckets: a superstep's plan shuffles messages only."""
+    from graphloom.lineage import dealt
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state, e = dealt(spark.range(1000), "id"), dealt(spark.range(5000).selectExpr("id % 1000 src", "id dst"), "src")
+        joined = state.join(e, F.col("id") == F.col("src"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_exchange_formats(spark, tmp_path):
     g = gods(spark)
     graphson.write_graphson(g, f"{tmp_path}/gs")
