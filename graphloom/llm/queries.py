@@ -44,7 +44,7 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm import flatgraph
 
     out = flatgraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
-    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "audit_recall")
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "audit_recall", "audit_recall_linked")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

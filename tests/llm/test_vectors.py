@@ -53,7 +53,48 @@ def test_flat_graph(spark, shard_size):
     n, comp = brute(rows)
     assert len(got) == len(rows)
     assert {r.id: r.n_links for r in got} == n and {r.id: r.component_id for r in got} == comp
-    assert got[0].audit_recall >= 0.9
+    assert got[0].audit_recall >= 0.9 and got[0].audit_recall_linked >= 0.9
+
+
+def clustered(n=1200, groups=150, dim=16, seed=2):
+    """One label holds all: groups of near-duplicates around centres of their own."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(groups, dim))
+    x = centre[rng.integers(0, groups, n)] + 0.03 * rng.normal(size=(n, dim))
+    return [(i, [float(v) for v in x[i]], 1, "s") for i in range(n)]
+
+
+def test_shards_of_one_label_stay_small(spark):
+    """All vectors under one label, far more than a shard holds: shards are clustered further, none stays large, and links are found."""
+    rows = clustered()
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, shard string")
+    start = d.select(F.col("vec_id").alias("node"), "label", F.lit(1).cast("bigint").alias("mult"), F.col("embedding").alias("e"), F.lit("0").alias("shard"))
+    from graphloom.llm.common import materialize
+
+    placed, sizes = flatgraph.shards_of(materialize(start), 0.98, 50, 150, 16)
+    most = sizes.agg(F.max("n")).first()[0]
+    assert most <= 150 and placed.select("node").distinct().count() == len(rows)
+    n, comp = brute(rows)
+    got = flatgraph.near_duplicates(d, per_shard=50, shard_size=150, centroids=1).collect()
+    found, true = sum(r.n_links for r in got), sum(n.values())
+    assert true > 3000 and found >= 0.99 * true and all(r.n_links <= n[r.id] for r in got)
+    assert sum(comp[r.id] == r.component_id for r in got) >= 0.99 * len(rows)
+
+
+def test_less_recall_is_never_returned(spark, monkeypatch):
+    """A search that finds nothing is seen by the audit, and the exact comparison takes its place."""
+    rows = clustered(400, 40)
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, shard string")
+    beams, whole = [], flatgraph._searched
+
+    def blind(placed, sizes, threshold, width, shard_size, beam):
+        beams.append(beam)
+        return whole(placed, sizes, threshold if beam is None else 2.0, width, shard_size, beam)
+
+    monkeypatch.setattr(flatgraph, "_searched", blind)
+    got = flatgraph.near_duplicates(d, shard_size=100).collect()
+    n, comp = brute(rows)
+    assert beams == [32, 256, None] and {r.id: r.n_links for r in got} == n and {r.id: r.component_id for r in got} == comp and got[0].audit_recall == 1.0
 
 
 def test_flat_graph_of_nothing(spark):
