@@ -263,7 +263,9 @@ def within(a: Geoshape, b: Geoshape) -> bool:
 def _shape_test(relation, s: Geoshape):
     @F.pandas_udf("boolean")
     def test(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else relation(geoshape(v), s))
+        # Each different shape of a batch is parsed and tested once.
+        known = {v: relation(geoshape(v), s) for v in values.dropna().unique()}
+        return values.map(known).astype("boolean")
 
     return test
 

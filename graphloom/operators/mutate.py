@@ -16,7 +16,7 @@ def with_changes(graph: PropertyGraph, add_vertices: dict | None = None, add_edg
     check (by default where the schema has constraints): a change that breaks a unique index, a multiplicity or a connection is refused with a ValueError; that runs the checks.
 
     add_vertices: label -> rows with id and properties. add_edges: label -> rows with eid, src, dst, added to each edge table whose ends fit the ids.
-    set_properties: label -> (key, rows (id, value)). remove_vertices: rows with id; their edges go too. remove_edges: rows with eid.
+    set_properties: label -> (key, rows (id, value)). remove_vertices: rows with id; their edges go too. remove_edges: rows with eid and, as an eid is only known within its label, label; with src and dst too, these must agree.
     """
     g = graph.copy()
     check = g.schema.constraints if check is None else check
@@ -40,9 +40,13 @@ def with_changes(graph: PropertyGraph, add_vertices: dict | None = None, add_edg
         cardinality = g.schema.keys[key].cardinality if key in g.schema.keys else "SINGLE"
         g.vertices[label] = set_property(g.vertices[label], key, rows, cardinality)
     if remove_edges is not None:
-        gone = remove_edges.select(F.col("eid").cast("string").alias("_gone")).distinct()
+        known = [c for c in ("label", "src", "dst") if c in remove_edges.columns]
+        gone = remove_edges.select(F.col("eid").cast("string").alias("_gone"), *[F.col(c).alias(f"_{c}") for c in known]).distinct()
         for label, ts in g.edges.items():
-            g.edges[label] = [EdgeTable(t.df.join(gone, F.col("eid").cast("string") == F.col("_gone"), "left_anti"), t.out_label, t.in_label) for t in ts]
+            on = F.col("eid").cast("string") == F.col("_gone")
+            for c in known:
+                on = on & ((F.lit(label) if c == "label" else F.col(c)) == F.col(f"_{c}"))
+            g.edges[label] = [EdgeTable(t.df.join(gone, on, "left_anti"), t.out_label, t.in_label) for t in ts]
     if remove_vertices is not None:
         gone = remove_vertices.select(F.col("id").alias("_gone")).distinct()
         without = lambda df, c: df.join(gone, F.col(c) == F.col("_gone"), "left_anti")
@@ -68,7 +72,7 @@ def drop(graph: PropertyGraph, frame) -> PropertyGraph:
     if frame.kind == "vertex":
         return with_changes(graph, remove_vertices=frame.df.select(F.col("_id").alias("id")))
     if frame.kind == "edge":
-        return with_changes(graph, remove_edges=frame.df.select(F.col("_id").alias("eid")))
+        return with_changes(graph, remove_edges=frame.df.select(F.col("_id").alias("eid"), F.col("_label").alias("label"), F.col("_src").alias("src"), F.col("_dst").alias("dst")))
     raise ValueError("only vertices and edges can be dropped")
 
 
@@ -150,6 +154,11 @@ def uniqueness_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def id_collisions(df: DataFrame, key: str) -> DataFrame:
+    """(id, n): ids that several values of a text key share. Ids of text keys are 56-bit hashes: from some hundred million keys on, check before the graph is used."""
+    return df.groupBy("id").agg(F.countDistinct(key).alias("n")).where("n > 1")
+
+
 def multiplicity_violations(graph: PropertyGraph, label: str, multiplicity: str | None = None) -> DataFrame:
     """(side, vertex, n): vertices with more edges of the label than its multiplicity allows; for SIMPLE, vertex is src, and a row per repeated pair."""
     m = multiplicity or graph.schema.edge_labels[label].multiplicity

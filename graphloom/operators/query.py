@@ -97,6 +97,33 @@ class GraphQuery:
         return f"conditions on {[k for k, _ in self.conditions]}, labels {list(self.labels)}, order {list(self.orders)}, limit {self.count_limit}"
 
 
+@dataclass(frozen=True)
+class VertexList:
+    """A bag of vertex ids with the order that was asked for last: rows (id, at), at a number that sets it. Lists stay distributed."""
+
+    df: DataFrame
+    ordered: bool = False
+
+    def ids(self) -> DataFrame:
+        return self.df.select("id")
+
+    def add_all(self, other: VertexList) -> VertexList:
+        """Both bags; the order is lost, as that of an unsorted list is."""
+        return VertexList(self.ids().unionByName(other.ids()))
+
+    def sort(self) -> VertexList:
+        return VertexList(self.ids(), True)
+
+    def sub_list(self, start: int, length: int) -> VertexList:
+        """Of a sorted list, the ids from position start on, at most length of them."""
+        if not self.ordered:
+            raise ValueError("only a sorted list has positions")
+        return VertexList(self.ids().orderBy("id").offset(start).limit(length), True)
+
+    def size(self) -> int:
+        return self.df.count()
+
+
 @dataclass(frozen=True)
 class VertexQuery:
     """Relations of the vertices in seeds (a DataFrame with a column id): for one vertex or for many, in one plan."""
@@ -175,6 +202,16 @@ class VertexQuery:
         e = self.edges().select("seed", F.lit("edge").alias("kind"), F.col("label").alias("type"), F.col("adjacent").cast("string").alias("value"))
         return e.unionByName(self.properties().select("seed", F.lit("property").alias("kind"), F.col("key").alias("type"), "value"))
 
+    def vertex_list(self) -> VertexList:
+        return VertexList(self.vertex_ids().select(F.col("adjacent").alias("id")))
+
+    def drop(self) -> PropertyGraph:
+        """The graph without the edges found."""
+        e = self.edges()
+        out = F.col("direction") == "out"
+        ends = [F.when(out, F.col("seed")).otherwise(F.col("adjacent")).alias("src"), F.when(out, F.col("adjacent")).otherwise(F.col("seed")).alias("dst")]
+        return self.graph.with_changes(remove_edges=e.select("eid", "label", *ends))
+
     def collected(self) -> DataFrame:
         """(seed, relations: array): one row per seed that has any."""
         return self.edges().groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("label", "adjacent", "eid"))).alias("relations"))

@@ -367,11 +367,61 @@ def add_edges(spark, sf_dir):
     return g.with_changes(add_edges={"placed": new}).edge_frame(["placed"]).groupBy(_key("src").alias("c_custkey")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS edges, (SELECT count(*) FROM orders) AS vertices FROM orders WHERE o_totalprice < 200000")
+@query("SELECT 'placed' AS label, count(*) AS n FROM orders WHERE o_totalprice < 200000 UNION ALL SELECT 'in_region', count(*) FROM nation UNION ALL SELECT 'in_nation', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)")
 def drop_edges(spark, sf_dir):
+    """Edges of one label go; those of others stay, whatever their ids."""
     h = _g(spark, sf_dir).V().has_label("customer").out_e("placed").has("o_totalprice", P.gte(200000.0)).drop_from_graph()
-    n = h.vertex_frame(["order"]).agg(F.count("*").alias("vertices"))
-    return h.edge_frame(["placed"]).agg(F.count("*").alias("edges")).crossJoin(F.broadcast(n))  # one row each
+    return h.edge_frame(["placed", "in_region", "in_nation"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE NOT (c_nationkey = 2 AND o_totalprice > 150000)")
+def multi_query_drop(spark, sf_dir):
+    g = trade_graph(spark, sf_dir)
+    q = g.multi_query(g.vertices["customer"].where("c_nationkey = 2")).direction("out").labels("placed").has("o_totalprice", P.gt(150000.0))
+    return q.drop().edge_frame(["placed"]).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id FROM (SELECT c_custkey + {_C} AS id FROM customer WHERE c_nationkey = 1 UNION ALL SELECT c_custkey + {_C} FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY id LIMIT 20 OFFSET 10")
+def vertex_lists(spark, sf_dir):
+    """Two lists of vertices put together, sorted, and a part of that."""
+    from graphloom.operators.query import VertexList
+
+    c = trade_graph(spark, sf_dir).vertices["customer"]
+    a, b = (VertexList(c.where(x).select("id")) for x in ("c_nationkey = 1", "c_mktsegment = 'BUILDING'"))
+    return a.add_all(b).sort().sub_list(10, 20).ids()
+
+
+@query("SELECT 'edge' AS kind, 'REMOVED' AS change, 'in_nation' AS type, count(*) AS n FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'vertex', 'REMOVED', NULL, count(*) FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'edge', 'REMOVED', 'supplies', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = 3 UNION ALL SELECT 'property', 'ADDED', 's_name', 2 UNION ALL SELECT 'vertex', 'ADDED', 'supplier', 1")
+def transaction_log(spark, sf_dir):
+    """What a transaction with a log path writes when it commits; one that is rolled back writes nothing."""
+    from graphloom.operators.transaction import begin
+
+    g, where = trade_graph(spark, sf_dir), new_path(spark, "tx")
+    g = PropertyGraph(spark, {x: g.vertices[x] for x in ("supplier", "part", "nation")}, {"supplies": g.edges["supplies"], "in_nation": [t for t in g.edges["in_nation"] if t.out_label == "supplier"]}, g.schema, {}, g.numbers)
+    new = spark.createDataFrame([("new",)], "s_name string").withColumn("id", F.lit(_S + 9_000_001))
+    gone = g.vertices["supplier"].where("s_nationkey = 3").select("id")
+    renamed = spark.createDataFrame([(_S + 1, "other")], "id bigint, value string")
+    begin(g, log_path=where, tx=7).change(remove_vertices=gone).rollback()
+    begin(g, log_path=where, tx=8).change(remove_vertices=gone).change(add_vertices={"supplier": new}, set_properties={"supplier": ("s_name", renamed)}).commit()
+    return spark.read.parquet(where).where("tx = 8").groupBy("kind", "change", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 0::BIGINT AS n")
+def id_collisions(spark, sf_dir):
+    return mutate.id_collisions(trade_graph(spark, sf_dir).vertices["target"], "target").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT (n_nationkey + {2 << 56})::VARCHAR AS id, n_name AS name, n_regionkey::VARCHAR AS other FROM nation UNION ALL SELECT (r_regionkey + {1 << 56})::VARCHAR, r_name, NULL FROM region UNION ALL SELECT n_nationkey::VARCHAR, (n_nationkey + {2 << 56})::VARCHAR, (n_regionkey + {1 << 56})::VARCHAR FROM nation")
+def graphml_roundtrip(spark, sf_dir):
+    """Nodes with their data, and edges with their ends, as they come back."""
+    from graphloom.sources import graphson
+
+    g, where = trade_graph(spark, sf_dir), new_path(spark, "graphml")
+    small = PropertyGraph(spark, {x: g.vertices[x] for x in ("nation", "region")}, {"in_region": g.edges["in_region"]}, g.schema, {}, g.numbers)
+    graphson.write_graphml(small, where)
+    n, e = graphson.read_graphml(spark, where)
+    p = F.col("properties")
+    return n.select("id", F.coalesce(p["n_name"], p["r_name"]).alias("name"), p["n_regionkey"].alias("other")).unionByName(e.select(F.col("eid").alias("id"), F.col("src").alias("name"), F.col("dst").alias("other")))
 
 
 @query("SELECT count(s_acctbal) AS left, (SELECT count(*) FROM supplier) AS n FROM supplier WHERE s_nationkey > 4")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from xml.sax.saxutils import quoteattr
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.graph import PropertyGraph
+from graphloom.graph import RESERVED, PropertyGraph
 
 EDGE = "struct<id:string,inV:string,outV:string,properties:map<string,string>>"
 PROPERTY = "struct<id:string,value:string>"
@@ -62,14 +63,21 @@ def write_graphson(graph: PropertyGraph, path: str | None = None, labels=None) -
 
 
 def write_graphml(graph: PropertyGraph, path: str) -> None:
-    """A folder of GraphML fragments: part files of <node> and <edge> elements, whose concatenation between header() and FOOTER is a document."""
+    """A folder of GraphML documents, one a task: each has the header and some of the nodes or edges."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     p = graph.property_frame().groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('<data key="'), esc(F.col("key")), F.lit('">'), esc(F.col("value")), F.lit("</data>")))), "").alias("d"))
     v = graph.vertex_frame().select("id", "label").join(p, "id", "left")
     nodes = v.select(F.concat(F.lit('<node id="'), F.col("id").cast("string"), F.lit('"><data key="labelV">'), esc(F.col("label")), F.lit("</data>"), F.coalesce("d", F.lit("")), F.lit("</node>")).alias("value"))
     e = graph.edge_frame().select("eid", "src", "dst", "label")
     edges = e.select(F.concat(F.lit('<edge id="'), esc(F.col("eid").cast("string")), F.lit('" source="'), F.col("src").cast("string"), F.lit('" target="'), F.col("dst").cast("string"), F.lit('"><data key="labelE">'), esc(F.col("label")), F.lit("</data></edge>")).alias("value"))
-    nodes.unionByName(edges).write.text(path)
+    header = graphml_header(sorted({c for v in graph.vertices.values() for c in v.columns if c not in RESERVED}))
+
+    def document(batches):
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+        yield pd.DataFrame({"value": [FOOTER]})
+
+    nodes.unionByName(edges).mapInPandas(document, "value string").write.text(path)
 
 
 FOOTER = "</graph></graphml>"
