@@ -23,6 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset and Spark runs in one process, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
+        at = spark._jvm.org.apache.hadoop.fs.Path(found)
+        if at.toUri().getScheme() is None:  # what Spark takes it for, said in full for those who open files themselves
+            whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+            found = found if whole.getScheme() == "file" else whole.toString()
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

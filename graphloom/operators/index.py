@@ -48,13 +48,13 @@ class IndexCatalog:
     tables: dict[str, dict[str, str]] = field(default_factory=dict)
     analyzers: dict[str, dict[str, Callable[[Column], Column]]] = field(default_factory=dict)
 
-    def build_index(self, name: str, kind: str, keys: tuple[str, ...], label: str | None = None, unique: bool = False, analyzers: dict | None = None) -> Index:
-        """analyzers: for text keys of a mixed index, "text" (the default), "string" (the whole value is one term) or a function of Column."""
+    def build_index(self, name: str, kind: str, keys: tuple[str, ...], label: str | None = None, unique: bool = False, analyzers: dict | None = None, inline: tuple[str, ...] = ()) -> Index:
+        """inline: properties that a composite index holds beside its keys. analyzers: for text keys of a mixed index, "text" (the default), "string" (the whole value is one term) or a function of Column."""
         if name in self.graph.schema.indexes:
             raise ValueError(f"index exists: {name}")
         if kind not in ("composite", "mixed", "vertex_centric"):
             raise ValueError(f"no such kind of index: {kind}")
-        self.graph.schema.indexes[name] = Index(name, kind, tuple(keys), label, unique)
+        self.graph.schema.indexes[name] = Index(name, kind, tuple(keys), label, unique, inline=tuple(inline))
         self.analyzers[name] = {k: ANALYZERS[a] if isinstance(a, str) else a for k, a in (analyzers or {}).items()}
         return self.graph.schema.indexes[name]
 
@@ -80,7 +80,7 @@ class IndexCatalog:
         d = self._elements(name)
         if i.kind == "vertex_centric":
             return d.select("src", *i.keys, "id", "dst")
-        return d.select(*i.keys, "id").dropna(subset=list(i.keys), how="any" if i.kind == "composite" else "all")
+        return d.select(*i.keys, *i.inline, "id").dropna(subset=list(i.keys), how="any" if i.kind == "composite" else "all")
 
     def postings(self, name: str, base: DataFrame | None = None) -> DataFrame:
         """(field, term, id, tf, positions) of a mixed index's text keys."""
@@ -163,14 +163,14 @@ class IndexCatalog:
     # Queries --------------------------------------------------------------------------------------------------------
 
     def lookup(self, name: str, *values) -> DataFrame:
-        """Ids by equality on all keys of a composite index; only an enabled index answers."""
+        """Ids, and what the index holds inline, by equality on all keys of a composite index; only an enabled index answers."""
         i = self._answering(name)
         if len(values) != len(i.keys):
             raise ValueError("a composite index needs a value for each key")
         d = self.table(name)
         for k, v in zip(i.keys, values, strict=True):
             d = d.where(F.col(k) == F.lit(v))
-        return d.select("id")
+        return d.select("id", *i.inline)
 
     def incident(self, name: str, seeds: DataFrame | list[int], *prefix, interval: tuple | None = None, order: str = "asc", limit: int | None = None) -> DataFrame:
         """(src, keys, id, dst) of a vertex-centric index: edges of the seeds (a list of ids, or a DataFrame with a column id) whose first keys equal `prefix` and whose next key is in
@@ -253,7 +253,7 @@ class IndexCatalog:
         for k, p in left.items():
             p = reduce(P.and_, [_has_word(t) for t in p.terms]) if isinstance(p, Words) else as_predicate(p)
             v = v.where(p.column(F.col(k), kinds[k]))
-        return v if ids is None else v.join(ids.distinct(), "id", "left_semi")
+        return v if ids is None else v.join(ids.select("id").distinct(), "id", "left_semi")
 
     # Checks ---------------------------------------------------------------------------------------------------------
 

@@ -16,7 +16,7 @@ from graphloom.operators.index import ACTIONS, IndexCatalog, Words
 from graphloom.operators.pregel import GraphComputer, MapReduce, Memory, VertexProgram
 from graphloom.operators.scan import VertexScan
 from graphloom.plans.catalog import _D, _S, _g, _named, query
-from graphloom.plans.traversal import __
+from graphloom.plans.traversal import T, __
 from graphloom.schema import INDEX_STATES, EdgeLabel, PropertyKey, VertexLabel
 from graphloom.sources.tables import trade_graph
 
@@ -160,6 +160,22 @@ def index_intersection(spark, sf_dir):
     return c.vertices("part", {"p_brand": "Brand#12", "p_size": P.lt(20), "p_name": P.containing("blue")}, force=True).select("p_partkey")
 
 
+@query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_brand = 'Brand#12' AND p_size = 7")
+def composite_inline(spark, sf_dir):
+    """Properties out of the index itself."""
+    c = IndexCatalog(trade_graph(spark, sf_dir)).enabled("brands", "composite", ("p_brand", "p_size"), "part", inline=("p_name", "p_retailprice"))
+    return c.lookup("brands", "Brand#12", 7).select(_key().alias("p_partkey"), "p_name", "p_retailprice")
+
+
+@query("SELECT DISTINCT l_suppkey AS s_suppkey FROM lineitem WHERE l_partkey IN (3, 17, 41)")
+def adjacent_key(spark, sf_dir):
+    """Edges by the id of their other end, as a key of the edge."""
+    g = trade_graph(spark, sf_dir)
+    ends = [(g.number("part") << 56) + k for k in (3, 17, 41)]
+    t = g.traversal().V().has_label("supplier").as_("s").out_e("supplies").has(T.adjacent, P.within(ends)).select("s").dedup().values("s_suppkey")
+    return _named(t, s_suppkey="value")
+
+
 @query("SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) AS r FROM orders WHERE o_custkey % 5 = 0 AND o_totalprice >= 50000 AND o_totalprice < 250000) WHERE r <= 2")
 def vertex_centric_lookup(spark, sf_dir):
     """Of some customers' orders in a range of prices, the two dearest, from an index by customer and price."""

@@ -30,6 +30,8 @@ PATHS = {"path", "simple_path", "cyclic_path", "tree"}
 class T:
     id = "~id"
     label = "~label"
+    #: Of an edge reached from a vertex: its other end's id.
+    adjacent = "~adjacent"
 
 
 @dataclass(frozen=True)
@@ -251,6 +253,8 @@ class Frame:
             return F.col("_id"), "bigint"
         if key == T.label:
             return self.label(), "string"
+        if key == T.adjacent and self.kind == "edge":
+            return F.when(F.col("_from") == F.col("_src"), F.col("_dst")).otherwise(F.col("_src")), "bigint"
         kinds = dict(self.df.dtypes)
         for name in (f"p_{key}", f"m_{key}"):
             if name in kinds:

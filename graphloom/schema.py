@@ -57,6 +57,8 @@ class Index:
     label: str | None = None
     unique: bool = False
     status: str = "INSTALLED"
+    #: Properties that a composite index holds beside its keys, so that a lookup needs no vertex.
+    inline: tuple[str, ...] = ()
 
 
 @dataclass
