@@ -225,8 +225,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     # A node's number is a hash of label and vector: the same wherever and whenever it is computed.
     nodes = materialize(grouped.withColumn("node", F.xxhash64("label", "e")), "nodes")
     width, total, different = nodes.agg(F.max(F.size("e")), F.count("*"), F.countDistinct("node")).first()
-    if different != total:
-        raise ValueError("two vectors have the same hash: add a column that tells them apart to the label")
+    if different != total:  # two vectors have one hash: number them as they were written, which is settled once they are read again
+        nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     width = width or 0
     picked = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(sample).select("label", "e").collect()
     by_label: dict = {}

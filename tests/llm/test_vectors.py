@@ -10,10 +10,11 @@ NAN, INF = float("nan"), float("inf")
 def vectors(n=500, seed=0, dim=12):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim))
-    x[50:150] = x[0] + 0.05 * rng.normal(size=(100, dim))  # one dense group
-    for i in range(200, 260):
+    x[50:150] = (x[0] + 0.05 * rng.normal(size=(100, dim)))[: len(x[50:150])]  # one dense group
+    for i in range(200, min(260, n)):
         x[i] = x[i - 60] * 2 + 0.02 * rng.normal(size=dim)
-    x[300:310] = x[310]
+    if n > 310:
+        x[300:310] = x[310]
     rows = [(i, [float(v) for v in x[i].astype(np.float32)], int(i % 3) if i % 50 else None, "s") for i in range(n)]
     extra = [None, [], [0.0] * dim, [NAN] * dim, [INF] + [0.0] * (dim - 1), [1.0, None] + [0.0] * (dim - 2), rows[60][1], rows[60][1]]
     return rows + [(n + i, v, 0, "s") for i, v in enumerate(extra)] + [(n + 20, rows[60][1][:6], 0, "s")]
@@ -97,6 +98,24 @@ def test_less_recall_is_never_returned(spark, monkeypatch):
     assert beams == [32, 256, None] and {r.id: r.n_links for r in got} == n and {r.id: r.component_id for r in got} == comp and got[0].audit_recall == 1.0
 
 
+def test_two_vectors_of_one_hash(spark, monkeypatch):
+    """Where hashes of vectors meet, nodes are numbered; nothing is merged."""
+    whole, seen = flatgraph.materialize, []
+
+    def meet(df, name="cut"):
+        if name == "nodes" and not seen:
+            seen.append(1)
+            return whole(df.withColumn("node", F.lit(5).cast("bigint")), name)
+        return whole(df, name)
+
+    monkeypatch.setattr(flatgraph, "materialize", meet)
+    rows = vectors(120)
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, shard string")
+    n, comp = brute(rows)
+    got = flatgraph.near_duplicates(d).collect()
+    assert {r.id: r.n_links for r in got} == n and {r.id: r.component_id for r in got} == comp
+
+
 def test_flat_graph_of_nothing(spark):
     kind = "vec_id bigint, embedding array<float>, label int"
     assert flatgraph.near_duplicates(spark.createDataFrame([], kind)).count() == 0
