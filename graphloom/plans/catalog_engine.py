@@ -608,5 +608,5 @@ def _boxes(name: str, predicate: P, where: str, line: bool = False) -> None:
 _boxes("geo_shapes_intersect", geo.geo_intersect(geo.box(-10.5, -20.5, 30.5, 40.5)), "w <= 40.5 AND w + 10 >= -20.5 AND s <= 30.5 AND s + 5 >= -10.5")
 _boxes("geo_shapes_disjoint", geo.geo_disjoint(geo.box(-10.5, -20.5, 30.5, 40.5)), "NOT (w <= 40.5 AND w + 10 >= -20.5 AND s <= 30.5 AND s + 5 >= -10.5)")
 _boxes("geo_shapes_within", geo.geo_within(geo.geoshape("ENVELOPE (-60.5, 70.5, 40.5, -30.5)")), "w >= -60.5 AND w + 10 <= 70.5 AND s >= -30.5 AND s + 5 <= 40.5")
-_boxes("geo_shapes_contain", geo.geo_contains(geo.geoshape('{"type": "Point", "coordinates": [3.5, 12.25]}')), "w <= 3.5 AND w + 10 >= 3.5 AND s <= 12.25 AND s + 5 >= 12.25")
+_boxes("geo_shapes_contain", geo.geo_contains(geo.geoshape('{"type": "Point", "coordinates": [3.5, -33.25]}')), "w <= 3.5 AND w + 10 >= 3.5 AND s <= -33.25 AND s + 5 >= -33.25")
 _boxes("geo_lines_within", geo.geo_within(geo.geoshape([-30.5, -60.5, 40.5, 70.5])), "w >= -60.5 AND w + 10 <= 70.5 AND s >= -30.5 AND s + 5 <= 40.5", line=True)
