@@ -127,6 +127,16 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    # SHA-1 in base32: the hex digits in eights of five (20 bits), each as four letters of 5 bits.
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+t AS (SELECT body, max(page_id) AS top FROM p GROUP BY body),
+v AS (SELECT page_id, body, list_transform(range(0, 8), lambda i: list_sum(list_transform(range(1, 6), lambda j:
+  (instr('0123456789abcdef', substr(hex, (i * 5 + j)::INT, 1)) - 1)::BIGINT << (4 * (5 - j))))::BIGINT) AS parts FROM p)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM v JOIN t USING (body)""",
     "op1_chat": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
