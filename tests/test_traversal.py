@@ -84,3 +84,26 @@ def test_strict_and_changes(g, spark):
     assert smaller.traversal().V().count().df().first()[0] == 11
     assert smaller.traversal().E().count().df().first()[0] == 17 - 6
     assert one(g.V().count()) == [12]
+
+
+def test_first_by_hub(spark):
+    """Members of one hub: ranked once per hub, not once per pair; parallel edges and equal keys as by hand."""
+    from pyspark.sql import functions as F
+
+    from graphloom.graph import PropertyGraph
+
+    h = PropertyGraph(spark).add_vertices("hub", spark.createDataFrame([(0,), (1,)], "k bigint"), "k")
+    h.add_vertices("member", spark.createDataFrame([(i, float(i % 4)) for i in range(12)], "m bigint, wealth double"), "m")
+    pairs = [(i, i % 2) for i in range(12)] + [(3, 1), (3, 1), (3, 1), (11, 1), (4, 1)]
+    h.add_edges("of", spark.createDataFrame(pairs, "a bigint, b bigint"), "member", F.col("a"), "hub", F.col("b"), F.concat_ws(":", "a", "b"))
+    near = __.out("of").in_("of").where(ref("neq", "x")).order().by("wealth", "desc").limit(2)
+    d = h.traversal().V().has_label("member").as_("x").local(near).as_("y").frame().df
+    low = F.lit((1 << 56) - 1)
+    got = sorted(tuple(r) for r in d.select(F.col("@x").bitwiseAND(low), F.col("@y").bitwiseAND(low)).collect())
+    want = []
+    for x in range(12):
+        # one row for each way to y; x stands as often as child() has it: once, its own parallel edges count in the ways
+        ways = [y for a, b in pairs if a == x for y, c in pairs if c == b and y != x]
+        want += [(x, y) for y in sorted(ways, key=lambda y: (-(y % 4), y))[:2]]
+    assert got == sorted(want)
+    assert "_hub" in d._jdf.queryExecution().toString()
