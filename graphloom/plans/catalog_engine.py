@@ -549,12 +549,14 @@ def change_resume(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT quantile_disc(ts, 0.5) FROM events)")
 def change_start_time(spark, sf_dir):
+    from graphloom.streaming.changes import time_at_rank
+
     out = new_path(spark, "read")
-    start = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts").select("ts")
-    n = start.count()
-    at = start.offset((n + 1) // 2 - 1).first()[0]
+    at = time_at_rank(spark.read.parquet(f"{sf_dir}/events.parquet").select("ts"), lambda n: (n + 1) // 2 - 1)
     whole, _ = _log(spark, sf_dir, "")
-    whole.processor(f"from-{uuid.uuid4().hex}").set_start_time(str(at)).add_processor(lambda tx, state: state.rows.select(F.col("tx").alias("event_id")).write.mode("append").parquet(out)).run()
+    if at is None:
+        return whole.batch().select(F.col("tx").alias("event_id")).limit(0)
+    whole.processor(f"from-{uuid.uuid4().hex}").set_start_time(at).add_processor(lambda tx, state: state.rows.select(F.col("tx").alias("event_id")).write.mode("append").parquet(out)).run()
     return spark.read.parquet(out)
 
 

@@ -123,6 +123,27 @@ class ChangeLog:
         return LogProcessor(self, identifier)
 
 
+def time_at_rank(times: DataFrame, rank: Callable[[int], int], buckets: int = 1024) -> str | None:
+    """The time in place rank(n) (from 0) of the n times that aren't null in the only column, as text of the session's zone; None if there is none. Exact: counts over ever narrower intervals, so the
+    driver has `buckets` counts at once, whatever the size."""
+    t = times.select(F.unix_micros(F.col(times.columns[0]).cast("timestamp")).alias("t")).where("t is not null")
+    low, high, n = t.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    if not n:
+        return None
+    left = rank(n)
+    if not 0 <= left < n:
+        raise ValueError(f"no such place: {left} of {n}")
+    while low < high:
+        width = (high - low) // buckets + 1
+        nth = F.expr(f"(t - {low}L) div {width}L").alias("nth")
+        for i, c in sorted(t.where((F.col("t") >= low) & (F.col("t") <= high)).groupBy(nth).agg(F.count("*")).collect()):
+            if left < c:
+                low, high = low + i * width, min(high, low + (i + 1) * width - 1)
+                break
+            left -= c
+    return times.sparkSession.range(1).select(F.timestamp_micros(F.lit(low)).cast("string")).first()[0]
+
+
 def append_changes(changes: DataFrame, path: str) -> None:
     """The log's writing side: one file set per transaction batch."""
     changes.write.mode("append").parquet(path)

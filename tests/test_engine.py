@@ -238,3 +238,13 @@ def test_schema_and_cardinality(spark):
     gone = spark.createDataFrame([(1, None)], "id bigint, value string")
     assert {r.id: r.name for r in mutate.set_property(one, "name", gone).collect()} == {1: None, 2: "y"}
     assert [r.vertex for r in mutate.multiplicity_violations(gods(spark), "brother", "MANY2ONE").collect() if r.side == "src"].__len__() == 3
+
+
+def test_time_at_rank(spark):
+    """Any place among times, repeated ones and nulls too; no more rows come to the driver than there are buckets."""
+    from graphloom.streaming.changes import time_at_rank
+
+    t = spark.range(500).select(F.timestamp_micros(F.when(F.col("id") % 10 != 7, F.pmod(F.col("id") * 7919, F.lit(97)) * 1_000_003)).alias("ts"))
+    want = [str(r.t) for r in t.where("ts is not null").orderBy("ts").select(F.col("ts").cast("string").alias("t")).collect()]
+    assert [time_at_rank(t, lambda n, k=k: k, buckets=16) for k in (0, 224, 449)] == [want[0], want[224], want[449]]
+    assert time_at_rank(t, lambda n: (n + 1) // 2 - 1) == want[224] and time_at_rank(t.limit(0), lambda n: n) is None
