@@ -8,6 +8,7 @@ executor repeats one superstep's tasks; the state before the last is deleted.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.lineage import dealt, materialize, release
+from graphloom.lineage import dealt, materialize, release, spread
 from graphloom.schema import PropertyKey
 
 
@@ -142,7 +143,8 @@ class GraphComputer:
         try:
             if self._workers:
                 conf.set("spark.sql.shuffle.partitions", str(self._workers))
-            state, memory = run_program(self._program, v, e) if self._program else (v, Memory())
+            with nullcontext() if self._workers or not self._program else spread(e, v):
+                state, memory = run_program(self._program, v, e) if self._program else (v, Memory())
         finally:
             conf.set("spark.sql.shuffle.partitions", before)
         reduced = {n: j.run(state) for n, j in self._jobs.items()}

@@ -248,3 +248,43 @@ def test_time_at_rank(spark):
     want = [str(r.t) for r in t.where("ts is not null").orderBy("ts").select(F.col("ts").cast("string").alias("t")).collect()]
     assert [time_at_rank(t, lambda n, k=k: k, buckets=16) for k in (0, 224, 449)] == [want[0], want[224], want[449]]
     assert time_at_rank(t, lambda n: (n + 1) // 2 - 1) == want[224] and time_at_rank(t.limit(0), lambda n: n) is None
+
+
+@pytest.mark.parametrize("run", ["pagerank", "shortest_distance", "shortest_paths", "peer_pressure"])
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch, run):
+    """Tables of an algorithm are dealt into more buckets for larger files, and the session is left as it was."""
+    from graphloom import lineage
+
+    e = spark.range(3000).select((F.col("id") % 50).alias("src"), (F.col("id") * 7 % 53).alias("dst"), F.lit(1.0).alias("distance"))
+    e.write.parquet(str(tmp_path / "e"))
+    e, before, buckets = spark.read.parquet(str(tmp_path / "e")), spark.conf.get("spark.sql.shuffle.partitions"), []
+    deal = lambda df, *a, f=lineage.dealt: buckets.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or f(df, *a)
+    monkeypatch.setattr(algorithms, "dealt", deal)
+    monkeypatch.setattr("graphloom.operators.pregel.dealt", deal)
+    call = {"pagerank": lambda: algorithms.pagerank(ids(spark, 53), e, iterations=3), "shortest_distance": lambda: algorithms.shortest_distance(ids(spark, 53), e, 0), "shortest_paths": lambda: algorithms.shortest_paths(ids(spark, 53), e, 0), "peer_pressure": lambda: algorithms.peer_pressure(ids(spark, 53), e, 2)}[run]
+    as_it_was = sorted(map(tuple, call().collect()))
+    few = set(buckets)
+    buckets.clear()
+    monkeypatch.setattr(lineage, "PER_PARTITION", 256)
+    got = sorted(map(tuple, call().collect()))
+    assert [r[0] for r in got] == [r[0] for r in as_it_was] and all(a == pytest.approx(b) if run == "pagerank" else a == b for a, b in zip(got, as_it_was, strict=True))
+    assert few == {int(before)} and len(set(buckets)) == 1 and min(buckets) > int(before) and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_text_queries_shuffle_no_words(spark):
+    """Postings are counted within their rows, and a query without an index makes none but its own terms'; both as counted by hand, ids that repeat too."""
+    from graphloom.graph import PropertyGraph
+
+    rows = [(1, "b a b, apache license a"), (2, None), (3, ""), (4, "general public x general public aa aa"), (4, "aa license"), (5, "license apache")]
+    g = PropertyGraph(spark).add_vertices("text", spark.createDataFrame(rows, "k bigint, body string"), "k")
+    c = IndexCatalog(g).enabled("words", "mixed", ("body",), "text")
+    got = {(r.term, r.id & 0xFF): (r.tf, r.positions) for r in c.table("words", "postings").collect()}
+    assert got[("apache", 1)] == (1, [0]) and got[("aa", 4)] == (3, [0, 4, 5]) and got[("general", 4)] == (2, [0, 2]) and len(got) == 8
+    one = spark.createDataFrame([(7, "aa bb aa")], "id bigint, body string").repartition(1)
+    assert "Exchange" not in IndexCatalog.postings(c, "words", one)._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobinPartitioning", "").replace("Exchange SinglePartition", "")
+    for q in ('body:license', 'body:licen* body:"general public"', "+body:apache -body:aa", "body:(license apache)"):
+        with_index, without = IndexQuery(g, "text", q, catalog=c), IndexQuery(g, "text", q)
+        assert with_index.totals() == without.totals()
+        assert sorted((r.k, round(r.score, 9)) for r in with_index.results().collect()) == sorted((r.k, round(r.score, 9)) for r in without.results().collect())
+    values, post, _ = IndexQuery(g, "text", "body:license")._read(parse("body:license"))
+    assert {r.term for r in post.collect()} == {"license"}
