@@ -1,7 +1,7 @@
 """Bulk-synchronous vertex programs and map-reduce over their results.
 
 A superstep is one plan: state joined with edges gives messages, messages to a vertex are combined by an aggregate (partial before the shuffle), and the state is updated by a left join.
-Edges are dealt by their sender once and state by vertex, both in equal buckets: only messages are shuffled. State is written after every superstep, so the plan never grows and a lost
+Edges are dealt by their sender once, with the columns that messages name, and state by vertex, both in equal buckets: only messages are shuffled. State is written after every superstep, so the plan never grows and a lost
 executor repeats one superstep's tasks; the state before the last is deleted.
 """
 
@@ -172,7 +172,7 @@ def run_program(p: VertexProgram, vertices: DataFrame, edges: DataFrame) -> tupl
     memory = Memory()
     setup = materialize(p.setup(vertices, edges), "setup")
     state = dealt(setup, "id", "state")
-    edges = dealt(edges, "src", "edges")
+    whole, edges, have = edges, None, {"src", "dst"}
     for name, c in p.aggregates().items():
         memory.values[name] = state.agg(c).first()[0]
     while True:
@@ -180,6 +180,10 @@ def run_program(p: VertexProgram, vertices: DataFrame, edges: DataFrame) -> tupl
         sender = state.where(p.sends(memory))
         sent = []
         if local is not None:
+            asked = have | _asked(sender.join(whole, F.col("id") == F.col("src")).select(local), whole)
+            if edges is None or asked != have:
+                old, edges, have = edges, dealt(whole.select(*[c for c in whole.columns if c in asked]), "src", "edges"), asked
+                release(*filter(None, [old]))
             sent.append(sender.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), local.alias("msg")))
         if anywhere is not None:
             sent.append(sender.select(anywhere[0].cast("bigint").alias("to"), anywhere[1].alias("msg")))
@@ -194,6 +198,14 @@ def run_program(p: VertexProgram, vertices: DataFrame, edges: DataFrame) -> tupl
             row = state.agg(*[c.alias(n) for n, c in p.aggregates().items()]).first()
             memory.values |= row.asDict()
         if p.terminate(memory):
-            release(edges, setup)
+            release(*filter(None, [edges]), setup)
             return state, memory
         memory.iteration += 1
+
+
+def _asked(messages: DataFrame, edges: DataFrame) -> set[str]:
+    """Columns of the edges that the messages are made of."""
+    names, found = set(), messages._jdf.queryExecution().analyzed().references().iterator()
+    while found.hasNext():
+        names.add(found.next().name().lower())
+    return {c for c in edges.columns if c.lower() in names}

@@ -288,3 +288,29 @@ def test_text_queries_shuffle_no_words(spark):
         assert sorted((r.k, round(r.score, 9)) for r in with_index.results().collect()) == sorted((r.k, round(r.score, 9)) for r in without.results().collect())
     values, post, _ = IndexQuery(g, "text", "body:license")._read(parse("body:license"))
     assert {r.term for r in post.collect()} == {"license"}
+
+
+def test_edges_are_dealt_with_what_messages_name(spark, monkeypatch):
+    """Edge columns that no message names aren't written; one that a later superstep names comes then."""
+    from graphloom.operators.pregel import VertexProgram, run_program
+
+    class Program(VertexProgram):
+        def setup(self, vertices, edges):
+            return vertices.select("id", F.lit(0.0).alias("got"))
+
+        def message(self, memory):
+            return F.col("a") if memory.iteration == 0 else F.col("A") + F.col("b")
+
+        def update(self, memory):
+            return {"got": F.col("got") + F.coalesce("inbox", F.lit(0.0))}
+
+        def terminate(self, memory):
+            return memory.iteration >= 2
+
+    from graphloom.lineage import dealt
+
+    kept = []
+    monkeypatch.setattr("graphloom.operators.pregel.dealt", lambda df, key, name: (kept.append(df.columns) if name == "edges" else None) or dealt(df, key, name))
+    e = spark.createDataFrame([(0, 1, 1.0, 10.0, "long"), (2, 1, 2.0, 20.0, "long")], "src bigint, dst bigint, a double, b double, c string")
+    assert {r.id: r.got for r in run_program(Program(), ids(spark, 3), e)[0].collect()} == {0: 0.0, 1: 3.0 + 33.0 * 2, 2: 0.0}
+    assert kept == [["src", "dst", "a"], ["src", "dst", "a", "b"]]
