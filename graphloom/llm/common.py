@@ -6,13 +6,19 @@ Everything that leaves a task goes through Spark's own writers into the folder t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.lineage import materialize, new_path, release, shared_dir, ship
 from graphloom.operators.algorithms import components
 
-__all__ = ["ascii_lower", "components", "materialize", "new_path", "per_bucket", "release", "shared_dir", "ship", "unused", "word_count"]
+__all__ = ["ascii_lower", "components", "materialize", "new_path", "per_bucket", "release", "shared_dir", "ship", "takes_over", "unused", "word_count"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +39,23 @@ def per_bucket(rows: int, size: int = 20_000) -> int:
     return max(1, -(-rows // size))
 
 
+#: What operators keep in a Python worker between tasks: the operator's name and a function that forgets it.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def takes_over(name: str, forget: Callable[[], object] = bool) -> None:
+    """A task of operator `name` begins in this Python worker. Spark uses its workers again for every operator, so what others have kept in it is forgotten and its memory given back."""
+    others = [k for k in _KEPT if k != name]
+    for k in others:
+        _KEPT.pop(k)()
+    _KEPT[name] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(taken: list[str], name: str) -> str:
     """name, or else name with as many underscores before it as keep it apart from the columns in `taken` (Spark's names don't tell cases apart)."""
     low = {c.lower() for c in taken}

@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import materialize, ship
+from graphloom.llm.common import materialize, ship, takes_over
 
 _STATE: dict = {}
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of letters that ends at an ASCII character or the word's end, or else all that is left of the word.
 _PART = re.compile(rf"[{_L}]+(?![^\x00-\x40\x5B-\x60\x7B-\x7F])|\S+", re.ASCII)
-#: Entries kept per worker: about 210 bytes each.
-_WORDS, _PARTS = 600_000, 1_000_000
+#: Entries kept per worker: twice so many at most, beside those of one text, about 200 bytes each.
+_ENTRIES = 400_000
+#: Texts that are encoded at once.
+_TEXTS = 256
 
 
 def byte_table() -> dict[int, int]:
@@ -48,8 +50,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # Ids of words and of their parts (a part that stands alone is a word of the same ids): those in use, and those in use before them.
+        # What is asked for again moves back, so words of many texts stay and those of one text go.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -66,7 +70,7 @@ class WordTokenizer:
         plain = [p for p in parts if _PLAIN.fullmatch(p)]
         if self.direct:
             for p in plain:
-                self.parts[p] = struct.pack(f"<{len(ids := self.direct(p))}I", *ids)
+                self.known[p] = struct.pack(f"<{len(ids := self.direct(p))}I", *ids)
             plain_left = []
         else:
             plain_left = plain
@@ -76,13 +80,19 @@ class WordTokenizer:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(few):  # each run of letters is one token word
                 for p, a, b in zip(few, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                    self.parts[p] = ids[a:b].tobytes()
+                    self.known[p] = ids[a:b].tobytes()
             else:
                 for p, e in zip(few, self._encode(few), strict=True):
-                    self.parts[p] = np.array(e, "<u4").tobytes()
+                    self.known[p] = np.array(e, "<u4").tobytes()
         rest = [p for p in parts if not _PLAIN.fullmatch(p)]
         for p, e in zip(rest, self._encode(rest), strict=True):
-            self.parts[p] = np.array(e, "<u4").tobytes()
+            self.known[p] = np.array(e, "<u4").tobytes()
+
+    def _again(self, names: set[str]) -> set[str]:
+        """Of names, those that were in use before; they are in use again."""
+        found = {n: self.before[n] for n in names if n in self.before}
+        self.known |= found
+        return found.keys()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -92,20 +102,20 @@ class WordTokenizer:
         for t in texts:
             # What split() takes for white space beyond the tokenizer's own.
             b = re.split(r"[\x20\x09-\x0D]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split()
-            new = {w for w in b if w not in self.words}
+            new = {w for w in b if w not in self.known}
             if new:
-                if len(self.words) > _WORDS:
-                    self.words.clear()
+                if len(self.known) > _ENTRIES:
+                    self.known, self.before = {}, self.known
                     new = set(b)
-                cut = {w: [p.lower() if _PLAIN.fullmatch(p) else p for p in _PART.findall(w)] for w in new}
-                if len(self.parts) > _PARTS:
-                    self.parts.clear()
-                unknown = {p for ps in cut.values() for p in ps if p not in self.parts}
+                new -= self._again(new)
+                cut = {w: [low if _PLAIN.fullmatch(p) and (low := p.lower()) != p else p for p in _PART.findall(w)] for w in new}
+                unknown = {p for ps in cut.values() for p in ps if p not in self.known}
+                unknown -= self._again(unknown)
                 if unknown:
                     self._learn(sorted(unknown))
                 for w, ps in cut.items():
-                    self.words[w] = b"".join([self.parts[p] for p in ps])
-            out.append(b"".join([self.words[w] for w in b]))
+                    self.known[w] = b"".join([self.known[p] for p in ps])
+            out.append(b"".join([self.known[w] for w in b]))
         return out
 
 
@@ -126,11 +136,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     names = ["id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
 
     def run(batches):
+        takes_over("packing", _STATE.clear)
         tok, task, seen = tokenizer(tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = int(end_id).to_bytes(4, "little")
         for pdf in batches:
             rows = []
-            for i, ids in zip(pdf["id"].tolist() if not pdf["id"].isna().any() else [None if pd.isna(x) else x for x in pdf["id"]], tok.encode([t or "" for t in pdf["text"]]), strict=True):
+            encoded = (ids for a in range(0, len(pdf), _TEXTS) for ids in tok.encode([t or "" for t in pdf["text"].iloc[a : a + _TEXTS]]))
+            for i, ids in zip(pdf["id"].tolist() if not pdf["id"].isna().any() else [None if pd.isna(x) else x for x in pdf["id"]], encoded, strict=True):
                 ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, materialize, ship
+from graphloom.llm.common import components, materialize, ship, takes_over
 
 SEED = 42
 
@@ -48,6 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) and the columns `keep`: fp is the fingerprint as a signed bigint. One row per row of docs; a null text counts as empty."""
 
     def run(batches):
+        takes_over("simhash")
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fp, **{c: pdf[c] for c in keep}})
@@ -143,6 +144,7 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None, shard
     group = ["choice", "bits", "a", "b"]
 
     def run(batches):
+        takes_over("simhash")
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, ship, unused
+from graphloom.llm.common import materialize, ship, takes_over, unused
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Scripts written without spaces between words: Thai to Tibetan, Myanmar, Khmer, Tai, Kana, Han, Yi, Javanese.
@@ -198,6 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("lo
     marks = clean.columns[1:]
 
     def run(batches):
+        takes_over("toxicity", _whole.cache_clear)
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "f": [text_features(t) for t in pdf["text"]], **{c: pdf[c] for c in marks}})
 
@@ -238,6 +239,7 @@ def score(docs: DataFrame, model: ChainModel, text_col: str = "text", prefix: st
     tables = [{f: w.get(f, 0) for f in known} for w in model.words]
 
     def run(texts):
+        takes_over("toxicity", _whole.cache_clear)
         if _CACHE.get("key") != key:
             _CACHE.clear()
             _CACHE.update(key=key, words={})

@@ -89,3 +89,25 @@ def test_query_against_plain_python(spark):
         spots[r.sequence_id].append((r.offset, r.length))
     assert all(o == sum(n for _, n in sorted(s)[:i]) for s in spots.values() for i, (o, _) in enumerate(sorted(s)))
     assert len(spots) == best_fit([r.length for r in got], 4096)
+
+
+def test_tokenizer_keeps_few_words(monkeypatch):
+    """Words of one text go, words of many texts stay, ids are the same; a task of another operator forgets them all."""
+    from graphloom.llm import common
+
+    rng = random.Random(3)
+    monkeypatch.setattr(packing, "_ENTRIES", 500)
+    odd = lambda: "".join(rng.choices("abcdefghijklmnop", k=9)) + rng.choice(["", ",", "-x", "ü"])
+    texts = [" ".join(["often", "seen,", *[odd() for _ in range(60)]]) for _ in range(100)]
+    monkeypatch.setattr(packing, "_STATE", {})
+    tok = packing.tokenizer(tokenizer_path())
+    learned = []
+    monkeypatch.setattr(tok, "_learn", lambda parts, f=tok._learn: (learned.extend(parts), f(parts)))
+    got = [tok.encode([t])[0] for t in texts]
+    assert got == [np.array(e, "<u4").tobytes() for e in tok._encode(texts)]
+    assert len(tok.known) <= 800 and len(tok.before) <= 800
+    assert learned.count("often") == 1
+    common.takes_over("packing", packing._STATE.clear)
+    assert packing._STATE
+    common.takes_over("simhash")
+    assert not packing._STATE
