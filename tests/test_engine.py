@@ -314,3 +314,25 @@ def test_edges_are_dealt_with_what_messages_name(spark, monkeypatch):
     e = spark.createDataFrame([(0, 1, 1.0, 10.0, "long"), (2, 1, 2.0, 20.0, "long")], "src bigint, dst bigint, a double, b double, c string")
     assert {r.id: r.got for r in run_program(Program(), ids(spark, 3), e)[0].collect()} == {0: 0.0, 1: 3.0 + 33.0 * 2, 2: 0.0}
     assert kept == [["src", "dst", "a"], ["src", "dst", "a", "b"]]
+
+
+def test_match_has_partitions_by_input(spark, monkeypatch):
+    """Joins of match have as many partitions as the input asks for, if the session has fewer; its rows stay."""
+    import re
+
+    import __spark_entry__
+    from graphloom import lineage
+
+    run = lambda: __spark_entry__.queries()["match_triangle"](spark, "/root/testdata/sf0.001")
+    before = sorted(map(tuple, run().collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        monkeypatch.setattr(lineage, "PER_PARTITION", 1 << 13)
+        df = run()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joined = [int(n) for n in re.findall(r"SortMergeJoin[^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange hashpartitioning\(.*, (\d+)\), ", plan)]
+        assert joined and min(joined) > 4
+        assert before and sorted(map(tuple, df.collect())) == before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
